@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lzprint, packing, quality, secrets, substrings
+from . import bpe, lzprint, packing, quality, secrets, setjoin, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.similar(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
 def op6_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.words_dedup(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
