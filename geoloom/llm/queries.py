@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lzprint, packing, pivots, quality, secrets, setjoin, substrings
+from . import bpe, lines, lzprint, packing, pivots, quality, secrets, setjoin, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,29 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+#: Runs of two lines or more that occur earlier; the kept lines joined again.
+OP8_SQL = r"""
+WITH raw AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+flat AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM raw),
+real AS (SELECT doc_id, pos, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i FROM flat WHERE trim(line) <> ''),
+runs AS (SELECT doc_id, i, line, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM real),
+placed AS (SELECT doc_id, i, row_number() OVER (PARTITION BY line, nxt ORDER BY doc_id, i) AS k FROM runs WHERE nxt IS NOT NULL),
+gone AS (SELECT doc_id, i FROM placed WHERE k > 1 UNION SELECT doc_id, i + 1 FROM placed WHERE k > 1),
+marked AS (SELECT f.doc_id, f.pos, f.line, r.i, g.i IS NOT NULL AS removed
+  FROM flat f LEFT JOIN real r ON f.doc_id = r.doc_id AND f.pos = r.pos LEFT JOIN gone g ON g.doc_id = r.doc_id AND g.i = r.i),
+heads AS (SELECT g.doc_id, count(*) AS n FROM gone g LEFT JOIN gone p ON p.doc_id = g.doc_id AND p.i = g.i - 1 WHERE p.i IS NULL GROUP BY g.doc_id)
+SELECT m.doc_id, CAST(count(m.i) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE m.removed) AS BIGINT) AS n_removed,
+  CAST(coalesce(any_value(h.n), 0) AS BIGINT) AS n_runs,
+  sha256(coalesce(string_agg(m.line, chr(10) ORDER BY m.pos) FILTER (WHERE NOT m.removed), '')) AS kept_sha256
+FROM marked m LEFT JOIN heads h ON h.doc_id = m.doc_id GROUP BY m.doc_id
+"""
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -83,4 +106,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_line_runs": OP8_SQL}
