@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm import base, packing, quality, secrets
+from geoloom.llm import base, lines, packing, quality, secrets, setjoin
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -24,6 +24,20 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.score(docs.select(*COLUMNS), model).where("score >= 0.5").select(*COLUMNS)
 
 
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without line runs that occur earlier; a document that consists of such runs only goes. n_chars is that of the new text."""
+    out = lines.dedup_lines(docs.select(*COLUMNS))
+    kept = out.where("n_lines = 0 or n_removed < n_lines")
+    return kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each group linked by shingles of five words and a likeness of 0.8 or more; rows without an id stay."""
+    docs = docs.select(*COLUMNS)
+    others = setjoin.similar(docs, size=5, percent=80).where("doc_id != component_id").select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
+
+
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, its secrets replaced by [secret]; n_chars is that of the new text."""
     return secrets.clean(docs.select(*COLUMNS)).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
@@ -36,6 +50,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality classifier", keep_quality),
+    ("line dedup", drop_repeated_lines),
+    ("n-gram Jaccard join", one_of_each_group),
     ("secret scans", mask_secrets),
     ("best-fit packing", pack),
 ]
