@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import tiles  # noqa: F401
+from .plans import retrieval, tiles  # noqa: F401
 from .plans.registry import QUERIES, SQL, Query
 
 
