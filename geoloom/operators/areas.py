@@ -2,18 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Through the cluster's shared checkpoint folder; a fresh one only where none is set."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="geoloom-"))
-    return df.checkpoint(eager=True)
+from .order import cut
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -21,13 +13,13 @@ def connected(links: DataFrame) -> DataFrame:
 
     Every round each node takes the least label among its neighbours, and then that label's own label, so the rounds grow with the logarithm of the longest path.
     """
-    both = _cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = _cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")))
+    both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")))
     while True:
         spread = both.join(labels.select(F.col("a").alias("b"), F.col("label").alias("l")), "b").groupBy("a").agg(F.min("l").alias("l"))
         step = labels.join(spread, "a").select("a", F.least("label", "l").alias("label"))
         jump = step.join(step.select(F.col("a").alias("label"), F.col("label").alias("up")), "label", "left").select("a", F.least("label", F.coalesce("up", "label")).alias("label"))
-        new = _cut(jump)
+        new = cut(jump)
         moved = new.join(labels.withColumnRenamed("label", "old"), "a").where("label <> old").limit(1).count()
         labels = new
         if not moved:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from .areas import connected
 
 
 def _row(lat: Column, size: float) -> Column:
@@ -74,8 +75,6 @@ def density_groups(places: DataFrame, km: float, need: int, seed: int = 17) -> D
     Greedy in hashed order: a row whose unused neighbours (itself included) number `need` or more takes the first `need` of them, by id,
     itself first. Rows of different connected areas can't affect each other, so each area is one fold; areas come from the radius join's links.
     """
-    from ..operators.areas import connected
-
     links = within(places, places, km).select("a", "b")
     area = connected(links)
     near = links.groupBy("a").agg(F.sort_array(F.collect_list("b")).alias("near"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..operators.order import numbered
 from .fixtures import CACHE_SQL, cache, km_sql
 from .registry import query, table
 
@@ -189,16 +190,4 @@ def map_cache_needed(spark, sf_dir):
     fixed = spark.range(256).select(F.lit(4).alias("z"), (F.col("id") % 16).alias("x"), F.floor(F.col("id") / 16).alias("y"))
     root = spark.range(1).select(F.lit(0).alias("z"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"))
     needed = used.unionByName(fixed).unionByName(root).distinct()
-    return numbered(needed, ["z", "x", "y"], "row")
-
-
-def numbered(df, order, name):
-    """Row numbers from 0 in a global order, without bringing the rows together: rows are ranked within each value of the
-    first order column, and only the counts of those values meet."""
-    from pyspark.sql import Window
-
-    first = order[0]
-    sums = df.groupBy(first).agg(F.count("*").alias("__n"))
-    before = sums.select(first, (F.sum("__n").over(Window.orderBy(first)) - F.col("__n")).alias("__before"))
-    within = F.row_number().over(Window.partitionBy(first).orderBy(*order)) - 1
-    return df.withColumn("__k", within).join(before, first).select(*df.columns, (F.col("__k") + F.col("__before")).alias(name))
+    return numbered(needed, [F.col("z"), F.col("x"), F.col("y")], "row")
