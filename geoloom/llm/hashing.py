@@ -65,11 +65,11 @@ class Spans:
         return mix((self.sums[e] - self.sums[s]) * self.inverse[s] + (e - s).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words [^ \\t-\\r]+ of texts on end, and the first word of each text (one more than texts)."""
+def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words (by default [^ \\t-\\r]+) of texts on end, and the first word of each text (one more than texts)."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    word = ~SPACE[data]
+    word = ~space[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     begins = word.copy()
@@ -99,3 +99,11 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     if span < width:
         x = np.minimum(x[: len(x) - (width - span)], x[width - span :])
     return x
+
+
+def expand(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... n of them, for each."""
+    if not len(begin):
+        return np.zeros(0, np.int64)
+    before = np.cumsum(n) - n
+    return np.arange(int(n.sum())) - np.repeat(before, n) + np.repeat(begin, n)

@@ -17,6 +17,7 @@ are one-token pieces; equal rows are packed separately; an empty table gives no
 
 from __future__ import annotations
 
+import re
 import zlib
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -27,60 +28,101 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .base import arrow_map, bucket_count, cut, documents
-
-CACHE = 1_000_000
-#: Words longer than this are encoded but not kept in the cache.
-CACHED_CHARS = 64
+from .base import arrow_map, bucket_count, cut, documents, text_bytes
+from .hashing import BYTE, Spans, expand
+from .hashing import words as word_spans
+
+#: Words, and letter runs, that a worker keeps; a full table starts over.
+CACHE = 4_000_000
+PARTS_KEPT = 600_000
+#: What separates words here. The tokenizer drops these (and more), so no token spans them.
+SEPARATOR = np.zeros(256, bool)
+SEPARATOR[[32, 10, 9]] = True
+#: A letter run and ASCII marks behind it. The tokenizer cuts between the two, and lower-cases either
+#: letter by letter, so their ids are those of the lower-cased run and of the marks on end. No apostrophes: it has rules of their own.
+PARTS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 #: Groups of the linear grouping.
 GROUPS = 512
 
 
 class Words:
-    """Ids of texts, word by word: the tokenizer drops white space, so no token spans it."""
+    """Ids of texts, word by word, from a sorted table of word hashes (64 bits) that grows as words turn up."""
 
     def __init__(self, path: str) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {"": b""}
-        special = self.tokenizer.get_added_tokens_decoder()
-        #: A token that the tokenizer cuts texts at before anything else, so words around it are as if alone.
-        self.mark, self.mark_text = next(((i, t.content) for i, t in special.items() if not t.normalized), (None, ""))
-        self.others = [t.content for t in special.values()]
-
-    def encode_new(self, new: list[str]) -> list[bytes]:
-        """The packed ids of words that the cache lacks; many to a call, as calls cost more than words."""
-        run = 64 if self.mark is not None else 1
-        plain = [w for w in new if not any(t in w for t in self.others)] if run > 1 else []
-        out: dict[str, bytes] = {}
-        joined = [self.mark_text.join(plain[i : i + run]) for i in range(0, len(plain), run)]
-        for k, e in enumerate(self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4")
-            cuts = [0, *(np.flatnonzero(ids == self.mark) + 1).tolist(), len(ids) + 1]
+        # The model alone, for strings that need no normalising and are one pre-token each.
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        size = self.tokenizer.get_vocab_size()
+        #: Whether an id ends a pre-token; without such ids no parts are taken apart.
+        self.ends = np.array([bool(suffix) and (self.tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(size)])
+        self.by_part = bool(suffix)
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros(0, np.uint64)
+        self.begin = np.zeros(0, np.int64)
+        self.count = np.zeros(0, np.int64)
+        self.ids = np.zeros(1 << 16, "<u4")
+        self.used = 0
+        self.parts: dict[str, bytes] = {"": b""}
+
+    def learn(self, hashes: np.ndarray, words_: list[str]) -> None:
+        """Add words, in the order of their hashes, to the table."""
+        packed = self.encode_words(words_)
+        new = np.frombuffer(b"".join(packed), "<u4")
+        count = np.array([len(p) // 4 for p in packed], np.int64)
+        while self.used + len(new) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), "<u4")])
+        self.ids[self.used : self.used + len(new)] = new
+        at = np.searchsorted(self.keys, hashes)
+        self.keys = np.insert(self.keys, at, hashes)
+        self.begin = np.insert(self.begin, at, self.used + np.cumsum(count) - count)
+        self.count = np.insert(self.count, at, count)
+        self.used += len(new)
+
+    def encode_words(self, new: list[str]) -> list[bytes]:
+        """The packed ids of words, through the letter runs and marks they are made of."""
+        if len(self.parts) > PARTS_KEPT:
+            self.parts = {"": b""}
+        parts = self.parts
+        cut = [m.groups() if self.by_part and (m := PARTS.fullmatch(w)) else None for w in new]
+        pairs = [(c[0].lower(), c[1]) if c else None for c in cut]
+        unseen = list({x for p in pairs if p for x in p}.difference(parts))
+        for i in range(0, len(unseen), 1000):
+            some = unseen[i : i + 1000]
+            ids = np.array(self.bare.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            stops = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
             packed = ids.tobytes()
-            out.update(zip(plain[k * run : (k + 1) * run], (packed[4 * a : 4 * b - 4] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
-        odd = [w for w in new if w not in out]
-        for w, e in zip(odd, self.tokenizer.encode_batch(odd, add_special_tokens=False), strict=True):
-            out[w] = np.array(e.ids, "<u4").tobytes()
-        return [out[w] for w in new]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
-        if len(self.cache) > CACHE:
-            self.cache = {"": b""}
-        cache = self.cache
-        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        new = list({w for words in split for w in words if w not in cache})
-        cache.update(zip(new, self.encode_new(new), strict=True))
-        out = [b"".join(map(cache.__getitem__, words)) for words in split]
-        for w in new:
-            if len(w) > CACHED_CHARS:
-                del cache[w]
-        return out
+            parts.update(zip(some, (packed[a:b] for a, b in zip([0, *stops], stops, strict=False)), strict=True))
+        odd = [w for w, p in zip(new, pairs, strict=True) if not p]
+        rest = iter(self.tokenizer.encode_batch_fast(odd, add_special_tokens=False))
+        return [parts[p[0]] + parts[p[1]] if p else np.array(next(rest).ids, "<u4").tobytes() for p in pairs]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts on end, each with end_id behind it, and where each begins (one more than texts)."""
+        if len(self.keys) > CACHE or self.used > 8 * CACHE:
+            self.clear()
+        s, e, first = word_spans(data, offsets, SEPARATOR)
+        hashes, at, inverse = np.unique(Spans(BYTE[data]).of(s, e), return_index=True, return_inverse=True)
+        place = np.minimum(np.searchsorted(self.keys, hashes), max(len(self.keys) - 1, 0))
+        new = self.keys[place] != hashes if len(self.keys) else np.ones(len(hashes), bool)
+        if new.any():
+            blob = data.tobytes()
+            self.learn(hashes[new], [blob[a:b].decode() for a, b in zip(s[at[new]].tolist(), e[at[new]].tolist(), strict=True)])
+            place = np.searchsorted(self.keys, hashes)
+        count = self.count[place][inverse]
+        total = np.concatenate([[0], np.cumsum(count)])
+        of = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        out = np.full(int(total[-1]) + len(first) - 1, end_id, "<u4")
+        out[np.arange(int(total[-1])) + np.repeat(of, count)] = self.ids[expand(self.begin[place][inverse], count)]
+        return out, total[first] + np.arange(len(first))
 
 
 @lru_cache(maxsize=2)
@@ -90,17 +132,16 @@ def words(path: str) -> Words:
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 0, text: str = "text", doc_id: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """key, h, doc_id, piece, start, length, ids_crc32 (and ids) of each piece: a document's ids and end_id, cut where longer than capacity."""
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(rows: pa.RecordBatch) -> pa.RecordBatch:
         of, piece, start, length, crc, ids = [], [], [], [], [], []
-        for i, got in enumerate(words(tokenizer_path).encode(rows.column(3).to_pylist())):
-            got += end
-            for k, at in enumerate(range(0, len(got), 4 * capacity)):
-                part = got[at : at + 4 * capacity]
+        packed, first = words(tokenizer_path).encode(*text_bytes(rows.column(3)), end_id)
+        for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+            for k, at in enumerate(range(a, b, capacity)):
+                part = packed[at : min(at + capacity, b)].tobytes()
                 of.append(i)
                 piece.append(k)
-                start.append(at // 4)
+                start.append(at - a)
                 length.append(len(part) // 4)
                 crc.append(zlib.crc32(part))
                 if with_ids:

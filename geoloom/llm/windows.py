@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import bucket_count, cut, documents, sliced, text_bytes
-from .hashing import BYTE, Spans, mix, sliding_min, word_hashes, words
+from .hashing import BYTE, Spans, expand, mix, sliding_min, word_hashes, words
 
 #: Distinct contents of a minimiser that one task sorts; beyond, windows are dealt out singly.
 HOT = 1 << 15
@@ -365,14 +365,6 @@ def tags(rows: pa.RecordBatch) -> np.ndarray:
     return (rows.column("h").to_numpy(zero_copy_only=False) & 0xFFFF).astype(np.uint16)
 
 
-def expand(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """begin, begin + 1, ... n of them, for each."""
-    if not len(begin):
-        return np.zeros(0, np.int64)
-    before = np.cumsum(n) - n
-    return np.arange(int(n.sum())) - np.repeat(before, n) + np.repeat(begin, n)
-
-
 def matched(rows: pa.RecordBatch, key: np.ndarray, tag: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a row and a wanted flag for its document."""
     flag = np.flatnonzero(want)
