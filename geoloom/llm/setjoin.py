@@ -29,10 +29,11 @@ from pyspark.sql import functions as F
 
 from .base import NULL_ID, bucket_count, cut, documents, sliced, text_bytes
 from .graph import components
-from .hashing import Spans, mix, word_hashes
-from .windows import expand, runs_of, split_rows, unpack_all
+from .hashing import Spans, expand, mix, word_hashes
+from .windows import runs_of, split_rows, unpack_all
 
 POSTING = ("<u4", "<u2", "<i8")  # part key above the bucket, document
+LINK = ("<i8", "<i8")
 #: Shingles of a block that one task searches.
 BLOCK = 1 << 23
 #: The share of the required overlap that decides how many lists count as long.
@@ -252,10 +253,17 @@ def similar(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text
         a, b = rows.column("a").drop_null().to_numpy(), rows.column("b").drop_null().to_numpy()
         high, low, docs_ = unpack_all(POSTING, rows.column("payload").drop_null().to_pylist())
         child, parent, _ = stars(high.astype(np.uint64) << np.uint64(16) | low.astype(np.uint64), docs_)
-        return pa.table({"a": pa.array(np.concatenate([a, child]), pa.int64()), "b": pa.array(np.concatenate([b, parent]), pa.int64())})
+        child, parent = np.concatenate([a, child]), np.concatenate([b, parent])
+        rows_ = list(split_rows(np.mod(child, n_buckets), LINK, [child, parent]))
+        return pa.table({"to": pa.array([t for t, _ in rows_], pa.int32()), "links": pa.array([p for _, p in rows_], pa.binary())})
 
-    met = d.select("key", "text").mapInArrow(post, "bucket int, payload binary, a long, b long").groupBy("bucket").applyInArrow(meet, "a long, b long")
-    blocks = cut(components(met))
+    def once(rows: pa.Table) -> pa.Table:
+        """A document meets its least partner in many buckets; that link counts once."""
+        both = np.unique(np.stack(unpack_all(LINK, rows.column("links").to_pylist())), axis=1)
+        return pa.table({"a": pa.array(both[0]), "b": pa.array(both[1])})
+
+    met = d.select("key", "text").mapInArrow(post, "bucket int, payload binary, a long, b long").groupBy("bucket").applyInArrow(meet, "to int, links binary")
+    blocks = cut(components(met.groupBy("to").applyInArrow(once, "a long, b long")))
 
     # One document for each distinct set of a block; its copies link with it.
     members = described.where("n_shingles > 0").join(blocks.withColumnRenamed("node", "key"), "key")
