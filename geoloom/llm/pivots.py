@@ -58,11 +58,14 @@ def near(vectors: DataFrame, least: float = 0.95, vector: str = "embedding", vec
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), ids.alias("component_id"), F.lit(True).alias("kept"))
     dim, n = int(sizes.dim), int(sizes.n)
     wanted = max(16, min(PIVOTS, n // ROWS_PER_PIVOT))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+
+    def shares(v, by):
+        """v over by(v), which is computed once and not for each element."""
+        return F.get(F.transform(F.array(by(v)), lambda n: F.transform(v, lambda x: x / n)), F.lit(0))
+
     # Scaled first, so that neither huge nor tiny components overflow the norm.
-    scale = F.array_max(F.transform("v", F.abs))
-    unit = good.where(F.size("v") == dim).withColumn("v", F.transform("v", lambda x: x / scale))
-    unit = unit.withColumn("v", F.transform("v", lambda x: x / norm)).select("key", "v").dropDuplicates(["key"])
+    unit = good.where(F.size("v") == dim).select("key", shares(F.col("v"), lambda v: F.array_max(F.transform(v, F.abs))).alias("v"))
+    unit = unit.select("key", shares(F.col("v"), lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))).alias("v")).dropDuplicates(["key"])
     sample = unit.orderBy(F.xxhash64("key"), "key").limit(wanted).collect()
     pivots = choose_pivots(np.array([r.v for r in sample]))
     m = len(pivots)
