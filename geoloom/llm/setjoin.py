@@ -6,14 +6,16 @@ documents link when 100 * |both| >= percent * |either|.
 
 1. Blocks. Sizes fall into classes such that linked documents are in one class or in neighbours. For two neighbours the
    sets of a link differ in D shingles at most, so of more than D parts of the shingles (by hash) some part is
-   equal in both. Documents with an equal part are candidates; they join up to blocks.
+   equal in both. Documents with an equal part are candidates. Each set also has a parity bitmap of two to four bits a shingle: a shingle
+   flips one bit, so bitmaps of a link differ in D places at most, and candidates whose bitmaps differ in more can't link. The other
+   candidates join up to blocks.
 2. Search. Documents of a block meet, one for each distinct set. Each one's inverted lists are
    searched for documents that reach the overlap T: short lists are merged, long ones probed by binary search for
    what the merge left in reach (DivideSkip). A document that is already in the block's main component
    needs no search of its own, so a large group of copies costs about one search for each document outside it.
 3. Verified links are joined up to components.
 
-Copies are combined before every shuffle. A block over BLOCK shingles is dealt out as pairs of its sub-blocks. Shingles are
+Copies of a set are combined before the first shuffle. A block over BLOCK shingles is dealt out as pairs of its sub-blocks. Shingles are
 compared by 64-bit hashes. Rows that share an id share a component; null texts are empty.
 """
 
@@ -30,12 +32,17 @@ from pyspark.sql import functions as F
 from .base import NULL_ID, bucket_count, cut, documents, sliced, text_bytes
 from .graph import components
 from .hashing import Spans, expand, mix, word_hashes
-from .windows import runs_of, split_rows, unpack_all
+from .windows import pack_columns, runs_of, split_rows, unpack_all, unpack_columns
 
 POSTING = ("<u4", "<u2", "<i8")  # part key above the bucket, document
 LINK = ("<i8", "<i8")
+#: Documents with one key of which all pairs are compared at once; more are compared row by row.
+FEW = 48
+PAIRS = 1 << 18
+SHARED_KEY = ("<u4", "<u8", "<i8")  # bucket, key, document
+SALTS = (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A35)
 #: Shingles of a block that one task searches.
-BLOCK = 1 << 23
+BLOCK = 1 << 20
 #: The share of the required overlap that decides how many lists count as long.
 MU = 0.0085
 GATHER = 1 << 20
@@ -134,6 +141,110 @@ def stars(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return pair[0], pair[1], head
 
 
+def levels(sizes: np.ndarray) -> np.ndarray:
+    """log2 of the bits of a set's bitmap: at least twice its size, at least 64."""
+    return np.maximum(6, np.ceil(np.log2(np.maximum(2 * sizes, 1)))).astype(np.int64)
+
+
+def bitmaps(hashes: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """Each set's parity bitmap: bit h mod 2^level is flipped by every shingle h."""
+    sizes = np.diff(first)
+    bits = np.int64(1) << levels(sizes)
+    base = np.concatenate([[0], np.cumsum(bits)])
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    at = base[doc] + (hashes & (bits[doc] - 1).astype(np.uint64)).astype(np.int64)
+    flat = np.bincount(at, minlength=int(base[-1])).astype(np.uint8) & 1
+    packed = np.packbits(flat, bitorder="little").tobytes()
+    return [packed[a:b] for a, b in zip((base[:-1] // 8).tolist(), (base[1:] // 8).tolist(), strict=True)]
+
+
+class Bitmaps:
+    """Bitmaps of some sets at their own level and at the one below, to which two halves fold by exclusive or."""
+
+    def __init__(self, sizes: np.ndarray, maps: list[bytes], percent: int) -> None:
+        self.sizes, self.percent = sizes, percent
+        self.level = levels(sizes)
+        self.at: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        own = {int(v): np.flatnonzero(self.level == v) for v in np.unique(self.level)}
+        words = {v: np.frombuffer(b"".join(maps[i] for i in which), np.uint64).reshape(len(which), -1) for v, which in own.items()}
+        for v in {*own, *(v - 1 for v in own if v > 6)}:
+            rows, parts = np.full(len(sizes), -1), []
+            n = 0
+            for u in (v, v + 1):
+                if u in own:
+                    w = words[u]
+                    parts.append(w if u == v else w[:, : w.shape[1] // 2] ^ w[:, w.shape[1] // 2 :])
+                    rows[own[u]] = n + np.arange(len(w))
+                    n += len(w)
+            self.at[v] = rows, np.concatenate(parts)
+
+    def may_link(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether sizes and bitmaps leave a link open, for pairs of sets."""
+        a, b = np.minimum(self.sizes[x], self.sizes[y]), np.maximum(self.sizes[x], self.sizes[y])
+        out = 100 * a >= self.percent * b
+        low = np.minimum(self.level[x], self.level[y])
+        for v in np.unique(low[out]):
+            some = np.flatnonzero(out & (low == v))
+            rows, words = self.at[int(v)]
+            for i in range(0, len(some), 1 << 13):
+                k = some[i : i + (1 << 13)]
+                differ = np.bitwise_count(words[rows[x[k]]] ^ words[rows[y[k]]]).sum(axis=1, dtype=np.int64)
+                out[k] = differ * (100 + self.percent) <= (a[k] + b[k]) * (100 - self.percent)
+        return out
+
+
+def candidate_links(keys: np.ndarray, docs: np.ndarray, maps: Bitmaps) -> list[tuple[int, int]]:
+    """Links (of set numbers) that join up all pairs with an equal key that may link."""
+    order = np.lexsort((docs, keys))
+    k, d = keys[order], docs[order]
+    cuts = runs_of([k]) if len(k) else np.zeros(1, np.int64)
+    size = np.diff(cuts)
+    root = np.arange(len(maps.sizes))
+    out: list[tuple[int, int]] = []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    def join(x: np.ndarray, y: np.ndarray) -> None:
+        for a, b in zip(x.tolist(), y.tolist(), strict=True):
+            ra, rb = find(a), find(b)
+            if ra != rb:
+                root[max(ra, rb)] = min(ra, rb)
+                out.append((a, b))
+
+    small = np.flatnonzero(size <= FEW)
+    # All pairs (i, j), i < j, of each small run, some runs at a time.
+    total = np.cumsum(size[small] * (size[small] - 1) // 2)
+    at = 0
+    while at < len(small):
+        base = total[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(total, base + PAIRS, side="right")))
+        runs = small[at:to]
+        at = to
+        member = expand(cuts[runs], size[runs])
+        end = np.repeat(cuts[runs + 1], size[runs])
+        left = end - member - 1
+        x, y = d[np.repeat(member, left)], d[expand(member + 1, left)]
+        pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+        x, y = pair[0], pair[1]
+        ok = x != y
+        x, y = x[ok], y[ok]
+        ok = maps.may_link(x, y)
+        join(x[ok], y[ok])
+    for r in np.flatnonzero(size > FEW):
+        member = np.unique(d[cuts[r] : cuts[r + 1]])
+        for i, q in enumerate(member.tolist()):
+            # As in forest(): of two in the main component none has to find the other.
+            if i and find(q) == find(int(member[0])):
+                continue
+            ok = maps.may_link(np.full(len(member), q), member) & (member != q)
+            join(np.full(int(ok.sum()), q), member[ok])
+    return out
+
+
 class Index:
     """Inverted lists over the sets of a block."""
 
@@ -178,6 +289,16 @@ class Index:
         return candidates[100 * both >= percent * (self.sizes[q] + self.sizes[candidates] - both)]
 
 
+def sets_of(rows: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """shingle_sets of the texts of some rows, slice by slice."""
+    hashes, first = [], [np.zeros(1, np.int64)]
+    for part in sliced(iter(rows.select(["text"]).to_batches()), 2 << 20):
+        h, f = shingle_sets(*text_bytes(part.column(0)), size)
+        hashes.append(h)
+        first.append(f[1:] + first[-1][-1])
+    return np.concatenate(hashes), np.concatenate(first)
+
+
 def forest(hashes: np.ndarray, first: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links that join every linked pair of a block's sets up."""
     n = len(first) - 1
@@ -213,62 +334,106 @@ def similar(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text
         for rows in sliced(batches, 2 << 20):
             hashes, first = shingle_sets(*text_bytes(rows.column("text")), size)
             cols = [rows.column("key"), rows.column("h"), rows.column("doc_id"), pa.array(np.diff(first))]
-            cols += [pa.array(summed(mix(hashes ^ np.uint64(salt)), first).astype(np.int64)) for salt in (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A35)]
-            yield pa.RecordBatch.from_arrays(cols, names=["key", "h", "doc_id", "n_shingles", "s1", "s2"])
-
-    described = cut(d.mapInArrow(describe, "key long, h long, doc_id long, n_shingles long, s1 long, s2 long"))
+            cols += [pa.array(summed(mix(hashes ^ np.uint64(salt)), first).astype(np.int64)) for salt in SALTS]
+            cols.append(pa.array(bitmaps(hashes, first), pa.binary()))
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "h", "doc_id", "n_shingles", "s1", "s2", "bitmap"])
 
-    posted = pa.schema([("bucket", pa.int32()), ("payload", pa.binary()), ("a", pa.int64()), ("b", pa.int64())])
-
-    def rows_out(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), posted, strict=True)], schema=posted)
+    described = cut(d.mapInArrow(describe, "key long, h long, doc_id long, n_shingles long, s1 long, s2 long, bitmap binary"))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        seen: dict[tuple[int, int, int], int] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
             docs_, keys = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
-            child, parent, head = stars(keys, docs_)
-            # Links found here go through buckets of their own; of each key only its least document is posted.
-            rows = [(int(c % n_buckets), None, c, p) for c, p in zip(child.tolist(), parent.tolist(), strict=True)]
-            keys, docs_ = keys[head], docs_[head]
+            seen.clear()
             to = (keys % np.uint64(n_buckets)).astype(np.int64)
             above = keys >> np.uint64(16)
             cols = [(above >> np.uint64(16)).astype(np.uint32), (above & np.uint64(0xFFFF)).astype(np.uint16), docs_]
-            rows += [(b, p, None, None) for b, p in split_rows(to, POSTING, cols)]
+            rows = list(split_rows(to, POSTING, cols))
             if rows:
-                yield rows_out(rows)
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.binary())], names=["bucket", "payload"])
 
         for rows in sliced(batches, 2 << 20):
             hashes, first = shingle_sets(*text_bytes(rows.column("text")), size)
             of, keys = part_keys(hashes, first, classes)
-            held.append((rows.column("key").to_numpy(zero_copy_only=False)[of], keys))
+            key = rows.column("key").to_numpy(zero_copy_only=False)
+            # Of copies that meet here the first one speaks for all; copies of a set are joined up by its sums further on.
+            names = zip(np.diff(first).tolist(), *(summed(mix(hashes ^ np.uint64(salt)), first).tolist() for salt in SALTS), strict=True)
+            fresh = np.array([seen.setdefault(name, i) == i for i, name in enumerate(names, len(seen) << 32)], bool)
+            stay = fresh[of]
+            held.append((key[of[stay]], keys[stay]))
             if sum(len(k) for _, k in held) >= GATHER:
                 yield from flush()
         if held:
             yield from flush()
 
     def meet(rows: pa.Table) -> pa.Table:
-        a, b = rows.column("a").drop_null().to_numpy(), rows.column("b").drop_null().to_numpy()
-        high, low, docs_ = unpack_all(POSTING, rows.column("payload").drop_null().to_pylist())
-        child, parent, _ = stars(high.astype(np.uint64) << np.uint64(16) | low.astype(np.uint64), docs_)
-        child, parent = np.concatenate([a, child]), np.concatenate([b, parent])
-        rows_ = list(split_rows(np.mod(child, n_buckets), LINK, [child, parent]))
+        """The postings of keys that several documents have, by document."""
+        high, low, docs_ = unpack_all(POSTING, rows.column("payload").to_pylist())
+        keys = high.astype(np.uint64) << np.uint64(16) | low.astype(np.uint64)
+        order = np.argsort(keys, kind="stable")
+        cuts = runs_of([keys[order]]) if len(keys) else np.zeros(1, np.int64)
+        several = order[np.repeat(np.diff(cuts) > 1, np.diff(cuts))]
+        bucket = np.full(len(several), rows.column("bucket")[0].as_py() if rows.num_rows else 0)
+        rows_ = list(split_rows(np.mod(docs_[several], n_buckets), SHARED_KEY, [bucket, keys[several], docs_[several]]))
+        return pa.table({"to": pa.array([t for t, _ in rows_], pa.int32()), "payload": pa.array([p for _, p in rows_], pa.binary())})
+
+    def attach(_: tuple, sets: pa.Table, wanted: pa.Table) -> pa.Table:
+        """Back to the buckets, with sizes and bitmaps."""
+        out = []
+        if sets.num_rows and wanted.num_rows:
+            bucket, keys, docs_ = unpack_all(SHARED_KEY, wanted.column("payload").to_pylist())
+            have = sets.column("key").to_numpy()
+            order = np.argsort(have, kind="stable")
+            row = order[np.minimum(np.searchsorted(have[order], docs_), len(have) - 1)]
+            n, maps = sets.column("n_shingles").to_numpy(), sets.column("bitmap").to_pylist()
+            by = np.argsort(bucket, kind="stable")
+            cuts = runs_of([bucket[by]])
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                i = by[a:b]
+                some, number = np.unique(row[i], return_inverse=True)
+                out.append((int(bucket[i[0]]), pack_columns(("<u8", "<u4"), keys[i], number), pack_columns(("<i8", "<u4"), have[some], n[some]), b"".join(maps[r] for r in some.tolist())))
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ([],) * 4, (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "keys", "sets", "maps"])
+
+    def compare(rows: pa.Table) -> pa.Table:
+        keys, number, docs_, sizes, maps = [], [], [], [], []
+        at = 0
+        for k, t, m in zip(*(rows.column(c).to_pylist() for c in ("keys", "sets", "maps")), strict=True):
+            a, b = unpack_columns(("<u8", "<u4"), k)
+            doc, n = unpack_columns(("<i8", "<u4"), t)
+            keys.append(a)
+            number.append(b.astype(np.int64) + at)
+            at += len(doc)
+            docs_.append(doc)
+            sizes.append(n.astype(np.int64))
+            ends = np.cumsum((np.int64(1) << levels(sizes[-1])) // 8).tolist()
+            maps += [m[x:y] for x, y in zip([0, *ends], ends, strict=False)]
+        doc = np.concatenate(docs_)
+        found = candidate_links(np.concatenate(keys), np.concatenate(number), Bitmaps(np.concatenate(sizes), maps, percent))
+        a = doc[np.array([x for x, _ in found], np.int64)]
+        b = doc[np.array([y for _, y in found], np.int64)]
+        rows_ = list(split_rows(np.mod(a, n_buckets), LINK, [np.maximum(a, b), np.minimum(a, b)]))
         return pa.table({"to": pa.array([t for t, _ in rows_], pa.int32()), "links": pa.array([p for _, p in rows_], pa.binary())})
 
     def once(rows: pa.Table) -> pa.Table:
-        """A document meets its least partner in many buckets; that link counts once."""
+        """Two documents may meet in many buckets; their link counts once."""
         both = np.unique(np.stack(unpack_all(LINK, rows.column("links").to_pylist())), axis=1)
         return pa.table({"a": pa.array(both[0]), "b": pa.array(both[1])})
 
-    met = d.select("key", "text").mapInArrow(post, "bucket int, payload binary, a long, b long").groupBy("bucket").applyInArrow(meet, "to int, links binary")
+    postings = d.select("key", "text").mapInArrow(post, "bucket int, payload binary")
+    shared = postings.groupBy("bucket").applyInArrow(meet, "to int, payload binary")
+    by_doc = described.select("key", "n_shingles", "bitmap", F.pmod("key", F.lit(n_buckets)).cast("int").alias("to"))
+    attached = by_doc.groupBy("to").cogroup(shared.groupBy("to")).applyInArrow(attach, "bucket int, keys binary, sets binary, maps binary")
+    met = attached.groupBy("bucket").applyInArrow(compare, "to int, links binary")
     blocks = cut(components(met.groupBy("to").applyInArrow(once, "a long, b long")))
 
-    # One document for each distinct set of a block; its copies link with it.
-    members = described.where("n_shingles > 0").join(blocks.withColumnRenamed("node", "key"), "key")
-    chosen = members.groupBy("component", "n_shingles", "s1", "s2").agg(F.min(F.struct("key", "h")).alias("of"))
-    copies = members.join(chosen, ["component", "n_shingles", "s1", "s2"]).where("key != of.key").select(F.col("key").alias("a"), F.col("of.key").alias("b"))
+    # One document for each distinct set; its copies link with it, and it takes part in the search if its set is in a block.
+    sets = described.where("n_shingles > 0").groupBy("n_shingles", "s1", "s2").agg(F.min(F.struct("key", "h")).alias("of"), F.count("*").alias("copies"))
+    copies = described.join(sets.where("copies > 1"), ["n_shingles", "s1", "s2"]).where("key != of.key").select(F.col("key").alias("a"), F.col("of.key").alias("b"))
+    members = described.select("key", "n_shingles", "s1", "s2").join(blocks.withColumnRenamed("node", "key"), "key")
+    chosen = members.groupBy("component", "n_shingles", "s1", "s2").agg(F.min("key").alias("any")).join(sets, ["n_shingles", "s1", "s2"]).select("component", "n_shingles", "of").distinct()
     weight = chosen.groupBy("component").agg(F.sum("n_shingles").alias("weight"), F.count("*").alias("sets")).where("sets > 1")
     picked = chosen.join(weight, "component").select(F.col("of.key").alias("key"), F.col("of.h").alias("h"), "component", F.ceil(F.col("weight") / F.lit(BLOCK)).cast("int").alias("subs"))
     mine = F.pmod(F.xxhash64("key", "h"), F.col("subs")).cast("int")
@@ -288,9 +453,7 @@ def similar(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text
             key = rows.column("key").to_numpy()
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if b - a > 1:
-                    text_col = rows.column("text").slice(a, b - a).combine_chunks()
-                    sets = shingle_sets(*text_bytes(text_col.chunk(0) if isinstance(text_col, pa.ChunkedArray) else text_col), size)
-                    out += [(int(key[a + x]), int(key[a + y])) for x, y in forest(*sets, percent)]
+                    out += [(int(key[a + x]), int(key[a + y])) for x, y in forest(*sets_of(rows.slice(a, b - a), size), percent)]
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     verified = placed.groupBy("to").applyInArrow(search, "a long, b long")
