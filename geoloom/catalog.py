@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import evaluation, retrieval, tiles  # noqa: F401
+from .plans import evaluation, model, retrieval, tiles  # noqa: F401
 from .plans.registry import QUERIES, SQL, Query
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +15,11 @@ def doubles(v: Column | str) -> Column:
     return col(v).cast("array<double>")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once. An expression that a lambda mentions is computed again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
 
@@ -28,8 +34,7 @@ def norm(v: Column) -> Column:
 
 def normalise(v: Column, floor: float = 1e-6) -> Column:
     """v over its length, or over floor where that is larger."""
-    n = F.greatest(norm(v), F.lit(floor))
-    return F.transform(v, lambda x: x / n)
+    return let(F.greatest(norm(v), F.lit(floor)), lambda n: F.transform(v, lambda x: x / n))
 
 
 def scale(v: Column, by: Column | float) -> Column:
@@ -47,10 +52,9 @@ def concat_scaled(a: Column, b: Column, scale_b: float = 1.0) -> Column:
 
 def mean(vectors: Column) -> Column:
     """The mean of an array of vectors."""
-    n = F.size(vectors)
-    first = F.element_at(vectors, 1)
-    zero = F.transform(first, lambda x: F.lit(0.0))
-    return F.transform(F.aggregate(vectors, zero, lambda a, v: F.zip_with(a, v, lambda x, y: x + y)), lambda x: x / n)
+    zero = F.transform(F.element_at(vectors, 1), lambda x: F.lit(0.0))
+    sums = F.aggregate(vectors, zero, lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
+    return let(F.size(vectors), lambda n: F.transform(sums, lambda x: x / n))
 
 
 def gem(vectors: Column, p: float) -> Column:
@@ -61,13 +65,13 @@ def gem(vectors: Column, p: float) -> Column:
 
 def rotate(v: Column, angle: Column) -> Column:
     """Consecutive component pairs turned by the angles of an array with one for each pair."""
+    n = F.size(v)
+    even, odd = (F.transform(F.sequence(F.lit(k), n - 2 + k, F.lit(2)), lambda i: F.get(v, i)) for k in (0, 1))
 
-    def turned(_: Column, i: Column) -> Column:
-        pair = F.floor(i / 2).cast("int")
-        a, x, y = F.get(angle, pair), F.get(v, 2 * pair), F.get(v, 2 * pair + 1)
-        return F.when(i % 2 == 0, x * F.cos(a) - y * F.sin(a)).otherwise(x * F.sin(a) + y * F.cos(a))
+    def turned(p: Column) -> Column:
+        return F.array(p["x"] * F.cos(p["t"]) - p["y"] * F.sin(p["t"]), p["x"] * F.sin(p["t"]) + p["y"] * F.cos(p["t"]))
 
-    return F.transform(v, turned)
+    return F.flatten(F.transform(F.arrays_zip(even.alias("x"), odd.alias("y"), angle.alias("t")), turned))
 
 
 def rope_angles(place: Column, pairs: int, most: float, spread: float) -> Column:
@@ -81,16 +85,23 @@ def is_zero(v: Column) -> Column:
 
 
 def softmax(scores: Column) -> Column:
-    top = F.array_max(scores)
-    e = F.transform(scores, lambda s: F.exp(s - top))
-    sum_ = total(e)
-    return F.transform(e, lambda x: x / sum_)
+    def shares(e: Column) -> Column:
+        return let(total(e), lambda sum_: F.transform(e, lambda x: x / sum_))
+
+    return let(scores, lambda s: let(array_exp(s), shares))
+
+
+def array_exp(s: Column) -> Column:
+    """exp of each element less the largest."""
+    return let(F.array_max(s), lambda top: F.transform(s, lambda x: F.exp(x - top)))
+
+
+def log_sum_exp(s: Column) -> Column:
+    return F.array_max(s) + F.log(total(array_exp(s)))
 
 
 def log_softmax(scores: Column) -> Column:
-    top = F.array_max(scores)
-    rest = top + F.log(total(F.transform(scores, lambda s: F.exp(s - top))))
-    return F.transform(scores, lambda s: s - rest)
+    return let(scores, lambda s: let(log_sum_exp(s), lambda rest: F.transform(s, lambda x: x - rest)))
 
 
 def entropy(p: Column, floor: float = 1e-9) -> Column:

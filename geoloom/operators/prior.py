@@ -66,9 +66,7 @@ def bias(prior: DataFrame, gate: float, negative: DataFrame | None = None, negat
 
 def merged_sink(base: Column, extra: Column, gate: float) -> Column:
     """A sink logit moved towards the log-sum-exp with further sink keys."""
-    both = F.concat(F.array(base), extra)
-    top = F.array_max(both)
-    return base + gate * (top + F.log(vectors.total(F.transform(both, lambda s: F.exp(s - top)))) - base)
+    return base + gate * (vectors.let(F.concat(F.array(base), extra), vectors.log_sum_exp) - base)
 
 
 def beam_search(queries: DataFrame, logits: Callable[[Column, Column, Column, Column, int], Column], beams: int = 16, top_m: int = 16, steps: int = geo.STEPS, sink: bool = False, prune: float = 1.0, score_steps: int | None = None) -> DataFrame:
