@@ -37,7 +37,7 @@ def views():
     return F.array(*(F.slice(e, 16 * i + 1, 16) for i in range(4)))
 
 
-@query("vec_level_mean", f"WITH {CACHE_SQL}, t AS (SELECT row_id, unnest({VIEWS}) AS v FROM cache), u AS (SELECT row_id, unnest(list_transform(v, lambda x: x / greatest(sqrt(list_dot_product(v, v)), 1e-6))) AS x, unnest(range(16)) AS i FROM t) SELECT row_id, i, round(avg(x), 6) AS x FROM u GROUP BY ALL")
+@query("vec_level_mean", f"WITH {CACHE_SQL}, t AS (SELECT row_id, unnest({VIEWS}) AS v FROM cache), n AS (SELECT row_id, v, greatest(sqrt(list_dot_product(v, v)), 1e-6) AS n FROM t), u AS (SELECT row_id, unnest(v) / n AS x, unnest(range(16)) AS i FROM n) SELECT row_id, i, round(avg(x), 6) AS x FROM u GROUP BY ALL")
 def vec_level_mean(spark, sf_dir):
     """Views normalised first and then averaged."""
     v = vectors.mean(F.transform(views(), vectors.normalise))
