@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import evaluation, model, records, retrieval, tiles  # noqa: F401
+from .plans import evaluation, model, rasters, records, retrieval, streams, tiles  # noqa: F401
 from .plans.registry import QUERIES, SQL, Query
 
 

@@ -4,15 +4,21 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Through the cluster's shared checkpoint folder; a fresh one only where none is set."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+def shared(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder; a fresh one only where none is set."""
+    sc = spark.sparkContext._jsc.sc()
+    if not sc.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="geoloom-"))
+    return sc.getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read from there."""
+    shared(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

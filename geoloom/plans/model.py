@@ -40,7 +40,7 @@ def views():
 @query("vec_level_mean", f"WITH {CACHE_SQL}, t AS (SELECT row_id, unnest({VIEWS}) AS v FROM cache), n AS (SELECT row_id, v, greatest(sqrt(list_dot_product(v, v)), 1e-6) AS n FROM t), u AS (SELECT row_id, unnest(v) / n AS x, unnest(range(16)) AS i FROM n) SELECT row_id, i, round(avg(x), 6) AS x FROM u GROUP BY ALL")
 def vec_level_mean(spark, sf_dir):
     """Views normalised first and then averaged."""
-    v = vectors.mean(F.transform(views(), vectors.normalise))
+    v = vectors.mean(F.transform(views(), lambda view: vectors.normalise(view)))
     return cache(spark, sf_dir).select("row_id", F.posexplode(v).alias("i", "x")).select("row_id", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
 
 
