@@ -12,6 +12,7 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from .geo import col
 
@@ -52,7 +53,7 @@ def tokens(s: Column | str, least: int = 3, stop: tuple[str, ...] = STOP_WORDS)
     return F.filter(F.split(fold(s), " "), lambda w: (F.length(w) >= least) & ~F.array_contains(words, w))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def fuzzy_ratio(a, b):
     """Twice the matched characters over both lengths, by longest matching blocks."""
     import pandas as pd
