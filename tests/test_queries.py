@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import same
+from compare import same
 
 from geoloom import catalog
 
