@@ -10,6 +10,7 @@ Conventions used by every operator here:
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 #: Stands in for a null id inside an operator: it sorts first.
 NULL_ID = -(1 << 63)
 #: Bytes of text handled at once inside a Python worker.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> None:
@@ -70,10 +71,20 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
             out = fn(part)
             if out is not None and out.num_rows:
                 yield out
+        release()
 
     return df.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers outlive tasks, and what they keep counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def sliced(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of at most about limit bytes; a row larger than that comes alone."""
     for batch in batches:

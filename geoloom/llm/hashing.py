@@ -25,8 +25,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE^i and BASE^-i for i below n at least, modulo 2^64."""
-    size = 1 << max(16, int(n).bit_length())
-    if size not in _powers:
+    size = -(-n // (1 << 17)) << 17
+    have = next(iter(_powers), 0)
+    if have >= size:
+        size = have
+    else:
         _powers.clear()
         one = np.ones(1, np.uint64)
         both = []

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import bucket_count, cut, documents, sliced, text_bytes
+from .base import bucket_count, cut, documents, release, sliced, text_bytes
 from .hashing import BYTE, Spans, expand, mix, sliding_min, word_hashes, words
 
 #: Distinct contents of a minimiser that one task sorts; beyond, windows are dealt out singly.
@@ -170,7 +170,7 @@ def repeated(group: np.ndarray, key: np.ndarray, tag: np.ndarray, start: np.ndar
 def window_ranks(sym: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
     """Ranks of the windows that start at these places in the order of their contents: the suffix
     array of sym cut at depth window, by prefix doubling. Equal ranks are a longest-common-prefix interval of that depth."""
-    if sym.dtype == np.uint8:
+    if sym.dtype == np.uint8 and window >= 8:
         padded = np.concatenate([sym, np.zeros(8, np.uint8)])
         eight = np.lib.stride_tricks.sliding_window_view(padded, 8)[: len(sym)]
         rank = np.ascontiguousarray(eight).view(">u8").reshape(-1).astype(np.uint64)
@@ -238,6 +238,7 @@ def find_repeats(docs: DataFrame, scheme: Scheme, text: str = "text", doc_id: st
                 yield from flush()
         if held:
             yield from flush()
+        release()
 
     def compare(rows: pa.Table) -> pa.Table:
         """In one bucket: repeats as a whole, and what has to be sent as text."""
@@ -260,6 +261,7 @@ def find_repeats(docs: DataFrame, scheme: Scheme, text: str = "text", doc_id: st
     def flags_out(parts: list[list[np.ndarray]]) -> pa.Table:
         cols = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, k) for i, k in enumerate(FLAG)]
         rows = list(split_rows(group_of(cols[0], cols[1]), FLAG, cols))
+        release()
         return pa.Table.from_batches([rows_out(rows, flagged)] if rows else [], flagged)
 
     def ship(_: tuple, texts: pa.Table, flags: pa.Table) -> pa.Table:
@@ -404,6 +406,7 @@ def remove(grouped: DataFrame, flags: DataFrame, scheme: Scheme, finish: Callabl
             np.add.at(change, begin, 1)
             np.add.at(change, begin + count[flag] + scheme.window - 1, -1)
             out.append(finish(part, data, offsets, first, np.cumsum(change[:-1]) > 0, s, e))
+        release()
         return pa.Table.from_batches(out) if out else pa.Table.from_pylist([], kind)
 
     from pyspark.sql.pandas.types import to_arrow_schema
