@@ -6,9 +6,10 @@ documents link when 100 * |both| >= percent * |either|.
 
 1. Blocks. Sizes fall into classes such that linked documents are in one class or in neighbours. For two neighbours the
    sets of a link differ in D shingles at most, so of more than D parts of the shingles (by hash) some part is
-   equal in both. Documents with an equal part are candidates. Each set also has a parity bitmap of two to four bits a shingle: a shingle
-   flips one bit, so bitmaps of a link differ in D places at most, and candidates whose bitmaps differ in more can't link. The other
-   candidates join up to blocks.
+   equal in both. Documents with an equal part of STRONG shingles or more join up to clusters at once. Smaller parts are often equal by
+   way of a passage that unrelated documents share, so where one spans clusters its documents' parity bitmaps (two to four bits a
+   shingle) are compared first: a shingle flips one bit, so bitmaps of a link differ in D places at most, and documents whose
+   bitmaps differ in more can't link. What is left joins clusters up to blocks.
 2. Search. Documents of a block meet, one for each distinct set. Each one's inverted lists are
    searched for documents that reach the overlap T: short lists are merged, long ones probed by binary search for
    what the merge left in reach (DivideSkip). A document that is already in the block's main component
@@ -29,17 +30,20 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import NULL_ID, bucket_count, cut, documents, sliced, text_bytes
+from .base import NULL_ID, bucket_count, cut, documents, release, sliced, text_bytes
 from .graph import components
 from .hashing import Spans, expand, mix, word_hashes
 from .windows import pack_columns, runs_of, split_rows, unpack_all, unpack_columns
 
-POSTING = ("<u4", "<u2", "<i8")  # part key above the bucket, document
+POSTING = ("<u4", "<u2", "<i8", "u1")  # part key above the bucket, document, whether the part is strong
 LINK = ("<i8", "<i8")
 #: Documents with one key of which all pairs are compared at once; more are compared row by row.
 FEW = 48
 PAIRS = 1 << 18
+#: Shingles of a part that make it evidence by itself.
+STRONG = 6
 SHARED_KEY = ("<u4", "<u8", "<i8")  # bucket, key, document
+PLACED = ("<u8", "<i8", "<i8")  # key, document, its cluster
 SALTS = (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A35)
 #: Shingles of a block that one task searches.
 BLOCK = 1 << 20
@@ -97,12 +101,12 @@ class Classes:
         return np.searchsorted(self.bounds, sizes, side="right") - 1
 
 
-def part_keys(hashes: np.ndarray, first: np.ndarray, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
-    """Documents and their part keys: for the family of its own class and for that of the class below."""
+def part_keys(hashes: np.ndarray, first: np.ndarray, classes: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents, their part keys, and the sizes of the parts: for the family of its own class and for that of the class below."""
     sizes = np.diff(first)
     doc = np.repeat(np.arange(len(sizes)), sizes)
     own = classes.of(sizes)
-    docs, keys = [], []
+    docs, keys, held = [], [], []
     where = hashes >> np.uint64(24)
     value = mix(hashes ^ np.uint64(0x5851F42D4C957F2D))
     for below in (0, 1):
@@ -114,8 +118,8 @@ def part_keys(hashes: np.ndarray, first: np.ndarray, classes: Classes) -> tuple[
         at = base[doc[mine]] + (where[mine] % parts[doc[mine]].astype(np.uint64)).astype(np.int64)
         total = np.zeros(int(base[-1]), np.uint64)
         np.add.at(total, at, value[mine])
-        seen = np.zeros(len(total), bool)
-        seen[at] = True
+        count = np.bincount(at, minlength=len(total))
+        seen = count > 0
         of = np.repeat(np.arange(len(sizes)), parts)
         empty = np.bincount(of[~seen], minlength=len(sizes))
         # With more empty parts than spare ones the equal part may be an empty one, so those are sent too.
@@ -124,7 +128,9 @@ def part_keys(hashes: np.ndarray, first: np.ndarray, classes: Classes) -> tuple[
         named = (family[of].astype(np.uint64) << np.uint64(40)) + part.astype(np.uint64) + np.uint64(1)
         docs.append(of[send])
         keys.append(mix(total + mix(named))[send])
-    return np.concatenate(docs), np.concatenate(keys)
+        # A part that is a set's whole is as strong as can be.
+        held.append(np.where(count == sizes[of], STRONG, count)[send])
+    return np.concatenate(docs), np.concatenate(keys), np.concatenate(held)
 
 
 def stars(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -337,48 +343,83 @@ def similar(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text
             cols += [pa.array(summed(mix(hashes ^ np.uint64(salt)), first).astype(np.int64)) for salt in SALTS]
             cols.append(pa.array(bitmaps(hashes, first), pa.binary()))
             yield pa.RecordBatch.from_arrays(cols, names=["key", "h", "doc_id", "n_shingles", "s1", "s2", "bitmap"])
+        release()
 
     described = cut(d.mapInArrow(describe, "key long, h long, doc_id long, n_shingles long, s1 long, s2 long, bitmap binary"))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         seen: dict[tuple[int, int, int], int] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
-            docs_, keys = (np.concatenate(c) for c in zip(*held, strict=True))
+            docs_, keys, strong = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
             seen.clear()
             to = (keys % np.uint64(n_buckets)).astype(np.int64)
             above = keys >> np.uint64(16)
-            cols = [(above >> np.uint64(16)).astype(np.uint32), (above & np.uint64(0xFFFF)).astype(np.uint16), docs_]
+            cols = [(above >> np.uint64(16)).astype(np.uint32), (above & np.uint64(0xFFFF)).astype(np.uint16), docs_, strong]
             rows = list(split_rows(to, POSTING, cols))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.binary())], names=["bucket", "payload"])
 
         for rows in sliced(batches, 2 << 20):
             hashes, first = shingle_sets(*text_bytes(rows.column("text")), size)
-            of, keys = part_keys(hashes, first, classes)
+            of, keys, count = part_keys(hashes, first, classes)
             key = rows.column("key").to_numpy(zero_copy_only=False)
             # Of copies that meet here the first one speaks for all; copies of a set are joined up by its sums further on.
             names = zip(np.diff(first).tolist(), *(summed(mix(hashes ^ np.uint64(salt)), first).tolist() for salt in SALTS), strict=True)
             fresh = np.array([seen.setdefault(name, i) == i for i, name in enumerate(names, len(seen) << 32)], bool)
             stay = fresh[of]
-            held.append((key[of[stay]], keys[stay]))
-            if sum(len(k) for _, k in held) >= GATHER:
+            held.append((key[of[stay]], keys[stay], count[stay] >= STRONG))
+            if sum(len(h[0]) for h in held) >= GATHER:
                 yield from flush()
         if held:
             yield from flush()
+        release()
+
+    def links_out(a: np.ndarray, b: np.ndarray) -> list[tuple[int, bytes]]:
+        return list(split_rows(np.mod(a, n_buckets), LINK, [np.maximum(a, b), np.minimum(a, b)]))
 
     def meet(rows: pa.Table) -> pa.Table:
-        """The postings of keys that several documents have, by document."""
-        high, low, docs_ = unpack_all(POSTING, rows.column("payload").to_pylist())
+        """Of strong keys, links with the least document; of weak ones that several documents have, the postings by document."""
+        high, low, docs_, strong = unpack_all(POSTING, rows.column("payload").to_pylist())
         keys = high.astype(np.uint64) << np.uint64(16) | low.astype(np.uint64)
+        sure = strong > 0
+        links = links_out(*stars(keys[sure], docs_[sure])[:2])
+        keys, docs_ = keys[~sure], docs_[~sure]
         order = np.argsort(keys, kind="stable")
         cuts = runs_of([keys[order]]) if len(keys) else np.zeros(1, np.int64)
         several = order[np.repeat(np.diff(cuts) > 1, np.diff(cuts))]
-        bucket = np.full(len(several), rows.column("bucket")[0].as_py() if rows.num_rows else 0)
-        rows_ = list(split_rows(np.mod(docs_[several], n_buckets), SHARED_KEY, [bucket, keys[several], docs_[several]]))
-        return pa.table({"to": pa.array([t for t, _ in rows_], pa.int32()), "payload": pa.array([p for _, p in rows_], pa.binary())})
+        bucket = np.full(len(several), rows.column("bucket")[0].as_py())
+        weak = list(split_rows(np.mod(docs_[several], n_buckets), SHARED_KEY, [bucket, keys[several], docs_[several]]))
+        return pa.table({
+            "to": pa.array([t for t, _ in links + weak], pa.int32()),
+            "links": pa.array([p for _, p in links] + [None] * len(weak), pa.binary()),
+            "payload": pa.array([None] * len(links) + [p for _, p in weak], pa.binary()),
+        })
+
+    def place(_: tuple, clusters: pa.Table, wanted: pa.Table) -> pa.Table:
+        """Weak postings back to their buckets, with the cluster of each document."""
+        out = []
+        if wanted.num_rows:
+            bucket, keys, docs_ = unpack_all(SHARED_KEY, wanted.column("payload").to_pylist())
+            have, of = clusters.column("node").to_numpy(), clusters.column("component").to_numpy()
+            order = np.argsort(have, kind="stable")
+            at = np.minimum(np.searchsorted(have[order], docs_), max(len(have) - 1, 0))
+            cluster = np.where(have[order][at] == docs_, of[order][at], docs_) if len(have) else docs_
+            out = list(split_rows(bucket.astype(np.int64), PLACED, [keys, docs_, cluster]))
+        return pa.table({"bucket": pa.array([b for b, _ in out], pa.int32()), "payload": pa.array([p for _, p in out], pa.binary())})
+
+    def spanning(rows: pa.Table) -> pa.Table:
+        """The postings of keys whose documents lie in several clusters, by document."""
+        keys, docs_, cluster = unpack_all(PLACED, rows.column("payload").to_pylist())
+        order = np.lexsort((cluster, keys))
+        cuts = runs_of([keys[order]]) if len(keys) else np.zeros(1, np.int64)
+        several = cluster[order][cuts[:-1]] != cluster[order][cuts[1:] - 1]
+        some = order[np.repeat(several, np.diff(cuts))]
+        bucket = np.full(len(some), rows.column("bucket")[0].as_py())
+        out = list(split_rows(np.mod(docs_[some], n_buckets), SHARED_KEY, [bucket, keys[some], docs_[some]]))
+        return pa.table({"to": pa.array([t for t, _ in out], pa.int32()), "payload": pa.array([p for _, p in out], pa.binary())})
 
     def attach(_: tuple, sets: pa.Table, wanted: pa.Table) -> pa.Table:
         """Back to the buckets, with sizes and bitmaps."""
@@ -414,7 +455,8 @@ def similar(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text
         found = candidate_links(np.concatenate(keys), np.concatenate(number), Bitmaps(np.concatenate(sizes), maps, percent))
         a = doc[np.array([x for x, _ in found], np.int64)]
         b = doc[np.array([y for _, y in found], np.int64)]
-        rows_ = list(split_rows(np.mod(a, n_buckets), LINK, [np.maximum(a, b), np.minimum(a, b)]))
+        rows_ = links_out(a, b)
+        release()
         return pa.table({"to": pa.array([t for t, _ in rows_], pa.int32()), "links": pa.array([p for _, p in rows_], pa.binary())})
 
     def once(rows: pa.Table) -> pa.Table:
@@ -423,11 +465,16 @@ def similar(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text
         return pa.table({"a": pa.array(both[0]), "b": pa.array(both[1])})
 
     postings = d.select("key", "text").mapInArrow(post, "bucket int, payload binary")
-    shared = postings.groupBy("bucket").applyInArrow(meet, "to int, payload binary")
+    met = cut(postings.groupBy("bucket").applyInArrow(meet, "to int, links binary, payload binary"))
+    sure = cut(met.where("links is not null").select("to", "links").groupBy("to").applyInArrow(once, "a long, b long"))
+    clusters = cut(components(sure))
+    clustered = clusters.select("node", "component", F.pmod("node", F.lit(n_buckets)).cast("int").alias("to"))
+    weak = met.where("payload is not null").select("to", "payload")
+    between = clustered.groupBy("to").cogroup(weak.groupBy("to")).applyInArrow(place, "bucket int, payload binary").groupBy("bucket").applyInArrow(spanning, "to int, payload binary")
     by_doc = described.select("key", "n_shingles", "bitmap", F.pmod("key", F.lit(n_buckets)).cast("int").alias("to"))
-    attached = by_doc.groupBy("to").cogroup(shared.groupBy("to")).applyInArrow(attach, "bucket int, keys binary, sets binary, maps binary")
-    met = attached.groupBy("bucket").applyInArrow(compare, "to int, links binary")
-    blocks = cut(components(met.groupBy("to").applyInArrow(once, "a long, b long")))
+    attached = by_doc.groupBy("to").cogroup(between.groupBy("to")).applyInArrow(attach, "bucket int, keys binary, sets binary, maps binary")
+    checked = attached.groupBy("bucket").applyInArrow(compare, "to int, links binary").groupBy("to").applyInArrow(once, "a long, b long")
+    blocks = cut(components(sure.unionByName(checked)))
 
     # One document for each distinct set; its copies link with it, and it takes part in the search if its set is in a block.
     sets = described.where("n_shingles > 0").groupBy("n_shingles", "s1", "s2").agg(F.min(F.struct("key", "h")).alias("of"), F.count("*").alias("copies"))
@@ -454,6 +501,7 @@ def similar(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if b - a > 1:
                     out += [(int(key[a + x]), int(key[a + y])) for x, y in forest(*sets_of(rows.slice(a, b - a), size), percent)]
+        release()
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     verified = placed.groupBy("to").applyInArrow(search, "a long, b long")
