@@ -53,7 +53,7 @@ def intervals(docs: DataFrame, min_lines: int = MIN_LINES, text: str = "text", d
         ahead = min(depth, min_lines - depth)
         # Equal rows hold equal places once.
         nxt = F.lead("rank", ahead).over(doc.orderBy("i")) if ahead else F.col("rank")
-        t = (t.dropDuplicates(["key", "h", "i"]) if depth == 1 else t).withColumn("ahead", nxt).where("ahead is not null")
+        t = (t.dropDuplicates(["key", "h", "i"]) if depth == 1 else t).withColumn("ahead", nxt).where("ahead is not null").select("key", "h", "i", "rank", "ahead")
         pairs = t.groupBy("rank", "ahead").agg(F.count("*").alias("n"))
         order = ranked(pairs)
         t = t.join(order, ["rank", "ahead"]).select("key", "h", "i", F.col("place").alias("rank"), "n")
