@@ -85,11 +85,11 @@ def shot_seconds(spark, sf_dir):
     return e.select("event_id", text.shot_seconds("s").alias("t"), text.shot_seconds(F.concat(F.lit("x"), "s")).alias("bad"))
 
 
-@query("parse_names", "SELECT c_custkey, CAST(64 * (1 + c_custkey % 12) AS INT) AS width, CAST(c_custkey % 400 AS INT) AS bank, CAST(c_custkey % 9 AS INT) AS epochs, CASE WHEN c_custkey % 2 = 0 THEN 'cell8' END AS extra, lpad(CAST(c_custkey % 100 AS VARCHAR), 4, '0') AS pack, CAST(c_custkey % 17 AS BIGINT) * 1073741824 AS bytes, printf('%.1f GB', (c_custkey % 17)::DOUBLE) AS shown FROM customer WHERE c_custkey % 17 > 0")
+@query("parse_names", "SELECT c_custkey, CAST(64 * (1 + c_custkey % 12) AS INT) AS width, CAST(c_custkey % 400 AS INT) AS bank, CAST(c_custkey % 9 AS INT) AS epochs, CASE WHEN c_custkey % 2 = 0 THEN 'cell8' END AS extra, lpad(CAST(c_custkey % 100 AS VARCHAR), 4, '0') AS pack, CAST(1 + c_custkey % 16 AS BIGINT) * 1073741824 AS bytes, printf('%.1f GB', (1 + c_custkey % 16)::DOUBLE) AS shown FROM customer")
 def parse_names(spark, sf_dir):
     """Run names, pack numbers and sizes written and read back."""
     i = F.col("c_custkey")
-    c = table(spark, sf_dir, "customer").where(i % 17 > 0).select("c_custkey", F.concat(F.lit("d"), 64 * (1 + i % 12), F.lit("-b"), i % 400, F.lit("-e"), i % 9, F.when(i % 2 == 0, "-cell8").otherwise("")).alias("tag"), F.concat(i % 17, F.lit("GB")).alias("size"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("d"), 64 * (1 + i % 12), F.lit("-b"), i % 400, F.lit("-e"), i % 9, F.when(i % 2 == 0, "-cell8").otherwise("")).alias("tag"), F.concat(1 + i % 16, F.lit("GB")).alias("size"))
     n = text.run_name("tag")
     c = c.withColumn("n", n).withColumn("bytes", text.size_bytes("size"))
     return c.select("c_custkey", "n.width", "n.bank", "n.epochs", "n.extra", text.pack_name(i % 100).alias("pack"), "bytes", text.human_size("bytes").alias("shown"))
@@ -323,9 +323,9 @@ def audit_ineligible(spark, sf_dir):
     return splits.ineligible(c, held=c.where("side = 'query'").select("cell"))
 
 
-@query("audit_duplicate_ids", "WITH a AS (SELECT doc_id AS id FROM documents UNION ALL SELECT doc_id FROM labels WHERE doc_id % 50 = 0), c AS (SELECT id, count(*) AS n FROM a GROUP BY id) SELECT id, n FROM c WHERE n > 1")
+@query("audit_duplicate_ids", "WITH a AS (SELECT doc_id AS id FROM documents UNION ALL SELECT doc_id FROM labels), c AS (SELECT id, count(*) AS n FROM a GROUP BY id) SELECT id, n FROM c WHERE n > 1")
 def audit_duplicate_ids(spark, sf_dir):
-    a = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")).unionByName(table(spark, sf_dir, "labels").where("doc_id % 50 = 0").select(F.col("doc_id").alias("id")))
+    a = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")).unionByName(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")))
     return a.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
 
 
