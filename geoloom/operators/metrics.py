@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.geo import col
+from .order import numbered
 
 #: Radii in km of the baseline report (inclusive) and of the standard one (exclusive), and the score's length scale.
 BASELINE_KM = (1, 25, 100, 750)
@@ -60,10 +61,10 @@ def resamples(pairs: DataFrame, reps: int, seed: int, key: str = "id") -> DataFr
     """
     spark = pairs.sparkSession
     n = pairs.count()
-    numbered = pairs.withColumn("no", F.row_number().over(Window.orderBy(key)) - 1)
+    rows = numbered(pairs, [F.col(key)], "no")
     draws = spark.range(reps * n).select(F.floor(F.col("id") / n).alias("rep"), (F.col("id") % n).alias("i"))
     pick = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "rep", "i")), 1, 12), 16, 10).cast("long") % n
-    return draws.select("rep", pick.alias("no")).join(numbered.select("no", "a", "b"), "no")
+    return draws.select("rep", pick.alias("no")).join(rows.select("no", "a", "b"), "no")
 
 
 def paired_bootstrap(pairs: DataFrame, reps: int, seed: int = 17, under: float = 25.0, key: str = "id") -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from .areas import connected
+from .order import cut
 
 
 def _row(lat: Column, size: float) -> Column:
@@ -61,10 +62,13 @@ def nearest(queries: DataFrame, bank: DataFrame, exclude: str | None = None, sta
         if exclude:
             p = p.join(groups_q, "a").join(groups_b, "b").where(~F.col("ga").eqNullSafe(F.col("gb")))
         best = p.groupBy("a").agg(F.min(F.struct("km", "b")).alias("m")).select(F.col("a").alias("query_id"), F.col("m.b").alias("row_id"), F.col("m.km").alias("km"))
+        best = cut(best)  # else every round would compute those before it again
         found = best if found is None else found.unionByName(best)
         if km >= math.pi * geo.EARTH_KM:
             break
-        todo = todo.join(best.select(F.col("query_id").alias("row_id")), "row_id", "left_anti")
+        todo = cut(todo.join(best.select(F.col("query_id").alias("row_id")), "row_id", "left_anti"))
+        if todo.isEmpty():
+            break
         km = min(km * grow, math.pi * geo.EARTH_KM + 1)
     return queries.select(F.col("row_id").alias("query_id")).join(found, "query_id", "left")
 

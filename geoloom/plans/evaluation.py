@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, vectors
-from ..operators import metrics, search, spatial, splits
+from ..operators import metrics, spatial, splits
 from .fixtures import CACHE_SQL, cache, km_sql
 from .registry import query, table
 from .retrieval import KNN_SQL, near, sides

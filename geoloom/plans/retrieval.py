@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, vectors
 from ..operators import search
+from ..operators.order import numbered
 from .fixtures import CACHE_SQL, cache, km_sql
 from .registry import query
 
@@ -199,9 +200,11 @@ def oracle_at_k_expected(spark, sf_dir):
 @query("gate_pick", f"""WITH {KNN_SQL}, g AS (SELECT query_id, max(sim) FILTER (WHERE rank = 1) AS s1, max(sim) FILTER (WHERE rank = 4) AS s4, max(km) FILTER (WHERE rank = 1) AS km1 FROM near GROUP BY ALL)
 SELECT query_id, round(s1 - s4, 6) AS margin, round((row_number() OVER (ORDER BY s1, query_id) - 1) / (count(*) OVER ())::DOUBLE, 9) AS pct, s1 - s4 > 0.02 AS trusted, round(km1, 6) AS km FROM g""")
 def gate_pick(spark, sf_dir):
-    """The margin over the fourth neighbour, and a query's percentile by its best similarity. Queries are few and already aggregated when they are ranked."""
+    """The margin over the fourth neighbour, and a query's percentile by its best similarity."""
     n = near(spark, sf_dir).groupBy("query_id").agg(F.max(F.when(F.col("rank") == 1, F.col("sim"))).alias("s1"), F.max(F.when(F.col("rank") == 4, F.col("sim"))).alias("s4"), F.max(F.when(F.col("rank") == 1, F.col("km"))).alias("km"))
-    pct = (F.row_number().over(Window.orderBy("s1", "query_id")) - 1) / F.count("*").over(Window.partitionBy()).cast("double")
+    total = n.agg(F.count("*").alias("total"))
+    n = numbered(n, [F.col("s1"), F.col("query_id")], "place").crossJoin(F.broadcast(total))
+    pct = F.col("place") / F.col("total").cast("double")
     return n.select("query_id", F.round(F.col("s1") - F.col("s4"), 6).alias("margin"), F.round(pct, 9).alias("pct"), (F.col("s1") - F.col("s4") > 0.02).alias("trusted"), F.round("km", 6).alias("km"))
 
 
