@@ -7,8 +7,8 @@ suffixes of equal rank are a longest-common-prefix interval. Doubling stops at d
 interval of that depth holds a start of it, and the maximal repeated runs are what such starts cover together.
 In each interval the first place (least id, then line) keeps its lines; lines covered from any other place go, judged on the input.
 
-Only pairs and counts are sorted, so a line that a third of all documents hold is one row there; joins back to places are left to
-Spark's skew handling. Null texts stay null and empty texts empty; equal rows (same id and text) count once and get equal results; a document of
+Only pairs and counts are sorted, so a line that a third of all documents hold is one row there; the join back to places is left to
+Spark's skew handling, and an interval's first place is found in salted parts. Null texts stay null and empty texts empty; equal rows (same id and text) count once and get equal results; a document of
 fewer than min_lines lines stays as it is.
 """
 
@@ -65,9 +65,14 @@ def intervals(docs: DataFrame, min_lines: int = MIN_LINES, text: str = "text", d
 
 def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """key, h and removed: the numbers of the lines (as in places().i) that later copies of runs cover."""
-    some = cut(intervals(docs, min_lines, text, doc_id).where("n > 1").select("key", "h", "i", "rank"))
-    first = some.groupBy("rank").agg(F.min(F.struct("key", "h", "i")).alias("first"))
-    later = some.join(first, "rank").where(F.struct("key", "h", "i") != F.col("first"))
+    place = F.struct("key", "h", "i")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    some = intervals(docs, min_lines, text, doc_id).where("n > 1").select("key", "h", "i", "rank")
+    # First within a salted part of an interval, then among the firsts of the parts, so that no interval meets in one task.
+    salted = Window.partitionBy("rank", F.pmod(F.xxhash64("key", "h", "i"), F.lit(n)))
+    parts = cut(some.withColumn("first", F.min(place).over(salted)))
+    heads = parts.where(place == F.col("first")).withColumn("first", F.min(place).over(Window.partitionBy("rank")))
+    later = parts.where(place != F.col("first")).unionByName(heads.where(place != F.col("first")))
     lines = later.select("key", "h", F.explode(F.sequence(F.col("i"), F.col("i") + min_lines - 1)).alias("i"))
     return lines.groupBy("key", "h").agg(F.sort_array(F.collect_set("i")).alias("removed"))
 
