@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import NULL_ID, bucket_count, cut, documents, release, sliced, text_bytes
@@ -477,8 +477,13 @@ def similar(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text
     blocks = cut(components(sure.unionByName(checked)))
 
     # One document for each distinct set; its copies link with it, and it takes part in the search if its set is in a block.
-    sets = described.where("n_shingles > 0").groupBy("n_shingles", "s1", "s2").agg(F.min(F.struct("key", "h")).alias("of"), F.count("*").alias("copies"))
-    copies = described.join(sets.where("copies > 1"), ["n_shingles", "s1", "s2"]).where("key != of.key").select(F.col("key").alias("a"), F.col("of.key").alias("b"))
+    sums = ["n_shingles", "s1", "s2"]
+    sets = described.where("n_shingles > 0").groupBy(*sums).agg(F.min(F.struct("key", "h")).alias("of"))
+    # Copies link with the first of a salted part of them, and those with the first of all, so that no group of copies meets in one task.
+    salt = F.pmod(F.xxhash64("key"), F.lit(n_buckets))
+    parts = described.where("n_shingles > 0").select("key", *sums).withColumn("first", F.min("key").over(Window.partitionBy(*sums, salt)))
+    heads = parts.where("key = first").withColumn("first", F.min("key").over(Window.partitionBy(*sums)))
+    copies = parts.unionByName(heads).where("key != first").select(F.col("key").alias("a"), F.col("first").alias("b"))
     members = described.select("key", "n_shingles", "s1", "s2").join(blocks.withColumnRenamed("node", "key"), "key")
     chosen = members.groupBy("component", "n_shingles", "s1", "s2").agg(F.min("key").alias("any")).join(sets, ["n_shingles", "s1", "s2"]).select("component", "n_shingles", "of").distinct()
     weight = chosen.groupBy("component").agg(F.sum("n_shingles").alias("weight"), F.count("*").alias("sets")).where("sets > 1")
