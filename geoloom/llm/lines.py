@@ -25,12 +25,14 @@ MIN_LINES = 2
 
 
 def places(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """key, h, i, line (its place in the text) and rank (the line's id) of every line that isn't blank."""
+    """key, h, i, line (its place in the text), rank (the line's id) and next (the id of the line after it) of every line that isn't blank."""
     split = F.split(F.col(text), "\n", -1)
     kept = F.filter(F.transform(split, lambda x, i: F.struct(i.alias("line"), F.trim(x).alias("blank"), x.alias("x"))), lambda s: s["blank"] != "")
     ids = F.transform(kept, lambda s: F.struct(s["line"].alias("line"), F.unhex(F.md5(s["x"])).alias("rank")))
-    named = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("key"), F.xxhash64(F.col(text)).alias("h"), ids.alias("ids"))
-    return named.select("key", "h", F.posexplode("ids").alias("i", "s")).select("key", "h", "i", "s.line", "s.rank")
+    # The array is bound once; a lambda would compute it again for each element.
+    pairs = F.get(F.transform(F.array(ids), lambda a: F.arrays_zip(a.alias("s"), F.slice(a, 2, F.greatest(F.size(a), F.lit(0))).alias("n"))), F.lit(0))
+    named = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("key"), F.xxhash64(F.col(text)).alias("h"), F.posexplode(pairs).alias("i", "p"))
+    return named.select("key", "h", "i", "p.s.line", "p.s.rank", F.col("p.n.rank").alias("next"))
 
 
 def ranked(pairs: DataFrame) -> DataFrame:
@@ -46,21 +48,19 @@ def ranked(pairs: DataFrame) -> DataFrame:
 
 def intervals(docs: DataFrame, min_lines: int = MIN_LINES, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """key, h, i, rank and n of every suffix of min_lines lines or more: n suffixes share its first min_lines lines."""
-    t = places(docs, text, doc_id)
-    depth = 1
-    doc = Window.partitionBy("key", "h")
+    t = places(docs, text, doc_id).select("key", "h", "i", "rank", F.col("next" if min_lines > 1 else "rank").alias("ahead"))
+    depth = min(2, min_lines)
     while True:
-        ahead = min(depth, min_lines - depth)
-        # Equal rows hold equal places once.
-        nxt = F.lead("rank", ahead).over(doc.orderBy("i")) if ahead else F.col("rank")
-        t = (t.dropDuplicates(["key", "h", "i"]) if depth == 1 else t).withColumn("ahead", nxt).where("ahead is not null").select("key", "h", "i", "rank", "ahead")
+        t = t.where("ahead is not null")
         pairs = t.groupBy("rank", "ahead").agg(F.count("*").alias("n"))
-        order = ranked(pairs)
-        t = t.join(order, ["rank", "ahead"]).select("key", "h", "i", F.col("place").alias("rank"), "n")
-        depth += ahead
+        t = t.join(ranked(pairs), ["rank", "ahead"]).select("key", "h", "i", F.col("place").alias("rank"), "n")
         if depth >= min_lines:
             return t
-        t = cut(t)
+        step = min(depth, min_lines - depth)
+        # Equal rows hold equal places once.
+        t = cut(t.dropDuplicates(["key", "h", "i"]).drop("n"))
+        t = t.withColumn("ahead", F.lead("rank", step).over(Window.partitionBy("key", "h").orderBy("i")))
+        depth += step
 
 
 def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
