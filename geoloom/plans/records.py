@@ -166,8 +166,8 @@ def archive_members(spark, sf_dir):
 def labels_top_rank(spark, sf_dir):
     """Named features by prominence, five to a layer (the limit is the feature); a missing rank comes last, ties in source order, features without a name go."""
     c = table(spark, sf_dir, "customer")
-    name = F.when(F.col("c_custkey") % 10 > 0, F.col("c_name"))
-    f = c.select(F.col("c_mktsegment").alias("layer"), "c_custkey", F.coalesce(F.lit(None).cast("string"), name).alias("text"), F.when(F.col("c_acctbal") >= 0, F.floor("c_acctbal")).alias("rank")).where("text is not null")
+    name, local = F.when(F.col("c_custkey") % 10 > 0, F.col("c_name")), F.lit(None).cast("string")
+    f = c.select(F.col("c_mktsegment").alias("layer"), "c_custkey", F.coalesce(local, name).alias("text"), F.when(F.col("c_acctbal") >= 0, F.floor("c_acctbal")).alias("rank")).where("text is not null")
     order = Window.partitionBy("layer").orderBy(F.coalesce("rank", F.lit(1_000_000)), "c_custkey")
     return f.withColumn("place", F.row_number().over(order)).where("place <= 5").select("layer", "text", "place")
 
