@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .base import arrow_map
 
-CACHE = 1_000_000
+CACHE = 400_000
 #: Pre-tokens longer than this are encoded but not kept in the cache.
 CACHED_CHARS = 64
 
