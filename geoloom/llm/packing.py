@@ -33,8 +33,8 @@ from .hashing import BYTE, Spans, expand
 from .hashing import words as word_spans
 
 #: Words, and letter runs, that a worker keeps; a full table starts over.
-CACHE = 3_000_000
-PARTS_KEPT = 250_000
+CACHE = 1_200_000
+PARTS_KEPT = 150_000
 #: What separates words here. The tokenizer drops these (and more), so no token spans them.
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[32, 10, 9]] = True
