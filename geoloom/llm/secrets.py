@@ -10,7 +10,7 @@ then decoded and reported only if what they hold parses:
 * openssh: the key container's magic followed by length-prefixed strings that fit;
 * blob: the wire form of a public or private key, length-prefixed with a known algorithm name.
 
-Key armour may wrap base64 over lines. A null or empty text has no spans; equal rows get
+Key armour may wrap base64 over lines; of a run of base64 lines every stretch of whole lines that holds a key is reported. A null or empty text has no spans; equal rows get
 equal spans; a text is scanned whole whatever its length.
 """
 
@@ -20,6 +20,7 @@ import base64
 import binascii
 import json
 import re
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -131,10 +132,7 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     if "." in text and "eyJ" in text:
         out += [("jwt", m.start(), m.end()) for m in TOKEN.finditer(text) if signed_token(m[0])]
     for m in BASE64.finditer(text):
-        for s, e in dict.fromkeys([(m.start(), m.end()), *lines(text, m.start(), m.end())]):
-            if kind := structure(unbase64(text[s:e])):
-                out.append((kind, s, e))
-                break
+        out += run_keys(text, m.start(), m.end())
     for m in HEX_ANY.finditer(text):
         if kind := structure(bytes.fromhex(m[0])):
             out.append((kind, m.start(), m.end()))
@@ -142,9 +140,7 @@ def scan(text: str) -> list[tuple[str, int, int]]:
 
 
 def lines(text: str, s: int, e: int) -> list[tuple[int, int]]:
-    """The whole lines of text[s:e]; none if it has one only."""
-    if "\n" not in text[s:e]:
-        return []
+    """The whole lines of text[s:e]."""
     out, at = [], s
     for part in text[s:e].split("\n"):
         out.append((at, at + len(part.rstrip("\r"))))
@@ -152,6 +148,80 @@ def lines(text: str, s: int, e: int) -> list[tuple[int, int]]:
     return out
 
 
+def opening(s: str) -> tuple[str, int] | None:
+    """The kind of key whose base64 may open with s, and the bytes it takes (0 if its first bytes don't tell)."""
+    head = unbase64(s[: len(s) // 4 * 4]) or b""
+    if head.startswith(b"openssh-key-v1\0"):
+        return "openssh", 0
+    if head[:3] == b"\0\0\0" and head[4:].startswith(ALGORITHMS):
+        return "blob", 0
+    if len(head) > 6 and head[0] == 0x30:
+        more = head[1] & 127 if head[1] & 128 else 0
+        return "der", 2 + more + (int.from_bytes(head[2 : 2 + more], "big") if more else head[1])
+    return None
+
+
+def string_ends(kind: str, data: bytes) -> list[int]:
+    """Where a container, or a key's wire form, that opens data may end."""
+    if kind == "openssh":
+        head = strings(data, 15, 3)
+        at = 15 + sum(4 + len(x) for x in head or ())
+        n = int.from_bytes(data[at : at + 4], "big")  # public keys; the private part is one string more
+        rest = strings(data, at + 4, n + 1) if head is not None else None
+        return [] if rest is None else [at + 4 + sum(4 + len(x) for x in rest)]
+    out, at = [], 0
+    while got := strings(data, at, 1):
+        at += 4 + len(got[0])
+        out.append(at)
+    return out[1:]
+
+
+def run_keys(text: str, s: int, e: int) -> list[tuple[str, int, int]]:
+    """Every key in text[s:e], a run of base64 lines: the stretches of whole lines that parse, one behind the other."""
+    spans = lines(text, s, e)
+    if len(spans) == 1:
+        kind = structure(unbase64(text[s:e]))
+        return [(kind, s, e)] if kind else []
+    parts = [text[a:b].rstrip("=") for a, b in spans]
+    flat = "".join(parts)
+    first = [0, *accumulate(len(x) for x in parts)]
+    line = {f: k for k, f in enumerate(first)}
+    opens = [opening(flat[f : f + 24]) for f in first[:-1]]
+
+    def behind(k: int, size: int) -> int | None:
+        """The line behind a key of that many bytes from line k on; None if it doesn't end with a line."""
+        to = line.get(first[k] - -size * 4 // 3)
+        return to if to and structure(unbase64(flat[first[k] : first[to]])) == opens[k][0] else None
+
+    def starts(k: int, kind: str) -> bool:
+        """Whether a key starts in line k that one of the given kind can't hold."""
+        if not opens[k] or kind == "openssh" and opens[k][0] == "blob":
+            return False
+        return opens[k][0] != "der" or behind(k, opens[k][1]) is not None
+
+    out, k = [], 0
+    while k < len(spans):
+        to = None
+        if opens[k] and opens[k][0] == "der":
+            to = behind(k, opens[k][1])
+        elif opens[k]:
+            kind = opens[k][0]
+            limit = next((j for j in range(k + 1, len(spans)) if starts(j, kind)), len(spans))
+            n = first[limit] - first[k]
+            data = unbase64(flat[first[k] : first[limit] - (n % 4 == 1)])
+            to = next((j for size in reversed(string_ends(kind, data)) if (j := behind(k, size))), None)
+            if to is None:  # without an end that a line shares, as far as it may reach
+                while (first[limit] - first[k]) % 4 == 1 and limit > k + 1:
+                    limit -= 1
+                to = limit if structure(unbase64(flat[first[k] : first[limit]])) == kind else None
+        if to is None:
+            k += 1
+        else:
+            out.append((opens[k][0], spans[k][0], spans[to - 1][1]))
+            k = to
+    return out
+
+
 def redact(text: str, spans: list[tuple[str, int, int]], mask: str = "[secret]") -> str:
     """text with every covered stretch replaced by mask."""
     starts: list[int] = []

@@ -217,6 +217,40 @@ def test_structures_are_confirmed():
         assert not [s for s in secrets.scan(innocent) if s[0] not in ("assign", "access", "hex")]
 
 
+def ed25519_key(seed: int) -> bytes:
+    return der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2b\x65\x70")) + der(4, der(4, random.Random(seed).randbytes(32))))
+
+
+def wrap(data: bytes, width: int = 64) -> str:
+    return "\n".join(re.findall(f".{{1,{width}}}", base64.b64encode(data).decode()))
+
+
+def test_every_key_of_a_run_is_reported():
+    def found(text):
+        return [(k, text[s:e]) for k, s, e in secrets.scan(text) if k in ("der", "openssh", "blob")]
+
+    rows = [wrap(ed25519_key(i)) for i in range(3)]
+    assert {len(r) for r in rows} == {64}
+    for newline in ("\n", "\r\n"):
+        assert found(newline.join(rows)) == [("der", r) for r in rows]
+    number = der(2, bytes(range(1, 30)))
+    rsa = wrap(der(0x30, der(2, b"\0") + number * 9 + der(2, bytes(range(1, 22)))))  # 309 bytes, no padding
+    assert "=" not in rsa and rsa.count("\n") > 3
+    noise = "xy" * 20
+    text = "\n".join([noise, rsa, "word", rows[0], rsa, "Hello"])
+    assert found(text) == [("der", rsa), ("der", rows[0]), ("der", rsa)]
+    assert secrets.redact(text, secrets.scan(text)) == f"{noise}\n[secret]\nword\n[secret]\n[secret]\nHello"
+
+    def packed(*parts):
+        return b"".join(struct.pack(">I", len(x)) + x for x in parts)
+
+    public = packed(b"ssh-ed25519", bytes(range(32)))
+    box = b"openssh-key-v1\0" + packed(b"none", b"none", b"") + struct.pack(">I", 1) + packed(public, bytes(range(136)))  # 234 bytes
+    lines_ = [wrap(public), wrap(box), wrap(public), rsa, "other"]
+    assert "=" not in "".join(lines_)
+    assert found("\n".join(lines_)) == [("blob", lines_[0]), ("openssh", lines_[1]), ("blob", lines_[2]), ("der", rsa)]
+
+
 def test_redaction(spark, docs):
     d = spark.createDataFrame([(1, "x password=abcdef12 y", "n"), (2, None, "n"), (3, "clean", "n")], "doc_id long, text string, spans string")
     assert [r.text for r in secrets.clean(d).orderBy("doc_id").collect()] == ["x [secret] y", None, "clean"]
