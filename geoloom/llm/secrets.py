@@ -34,8 +34,8 @@ HEX = re.compile(r"[0-9a-f]+")
 #: A match of HEX of 24 characters or more is one of these and the other way round.
 HEX_LONG = re.compile(r"[0-9a-f]{24,}")
 TOKEN = re.compile(r"[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
-#: Lines of one run; a line that starts with dashes is armour.
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{32,}(?:\r?\n(?!--)[A-Za-z0-9+/_-]{4,})*={0,2}")
+#: Lines of one run, the first one long, the others of any length as a key's last line may hold one letter; a line that starts with dashes is armour.
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{32,}(?:\r?\n(?!--)[A-Za-z0-9+/_-]+)*={0,2}")
 HEX_ANY = re.compile(r"(?:[0-9a-f]{2}){24,}|(?:[0-9A-F]{2}){24,}")
 KINDS = ("assign", "access", "hex", "jwt", "der", "openssh", "blob")
 #: Names that open a key's wire form.

@@ -251,6 +251,20 @@ def test_every_key_of_a_run_is_reported():
     assert found("\n".join(lines_)) == [("blob", lines_[0]), ("openssh", lines_[1]), ("blob", lines_[2]), ("der", rsa)]
 
 
+@pytest.mark.parametrize("width", [64, 76, 70])
+def test_last_lines_of_any_length(width):
+    lengths = set()
+    for n in range(180, 180 + 3 * width):
+        key = der(0x30, der(2, b"\1") + der(4, bytes(n)) + der(0xA0, der(6, b"\x2b\x81\x04\0\x23")))
+        lengths.add(len(key) % (3 * width))
+        for made in (wrap(key, width), wrap(key, width).rstrip("=\n")):
+            text = f"-----BEGIN EC PRIVATE KEY-----\n{made}\n-----END EC PRIVATE KEY-----\n"
+            assert [text[s:e].rstrip("=\n") for k, s, e in secrets.scan(text) if k == "der"] == [made.rstrip("=\n")], n
+            listed = f"{made}\n{made}\nis not"
+            assert len([k for k, _, _ in secrets.scan(listed) if k == "der"]) == 2, n
+    assert len(lengths) == 3 * width
+
+
 def test_redaction(spark, docs):
     d = spark.createDataFrame([(1, "x password=abcdef12 y", "n"), (2, None, "n"), (3, "clean", "n")], "doc_id long, text string, spans string")
     assert [r.text for r in secrets.clean(d).orderBy("doc_id").collect()] == ["x [secret] y", None, "clean"]
