@@ -265,6 +265,15 @@ def test_last_lines_of_any_length(width):
     assert len(lengths) == 3 * width
 
 
+@pytest.mark.parametrize("shape", ['{{"alg": "HS256"}}', '{{ "alg": "HS256" }}', '{{\n  "alg": "HS256"\n}}', '{{\t"alg": "HS256"}}', ' {{"alg": "HS256"}}', '\r\n{{"alg": "HS256"}}'])
+def test_tokens_with_blanks_in_their_parts(shape):
+    header, payload = shape.format(), shape.format().replace("alg", "sub")
+    made = ".".join(base64.urlsafe_b64encode(x.encode()).decode().rstrip("=") for x in (header, payload)) + ".c2lnbmF0dXJl"
+    assert ("jwt", 2, 2 + len(made)) in secrets.scan(f"é {made} end")
+    assert ("jwt", 4, 4 + len(made)) in secrets.scan(f"a.b.{made}")
+    assert not [x for x in secrets.scan(f"a{made} www.example.com somewhere.else.here") if x[0] == "jwt"]
+
+
 def test_redaction(spark, docs):
     d = spark.createDataFrame([(1, "x password=abcdef12 y", "n"), (2, None, "n"), (3, "clean", "n")], "doc_id long, text string, spans string")
     assert [r.text for r in secrets.clean(d).orderBy("doc_id").collect()] == ["x [secret] y", None, "clean"]
