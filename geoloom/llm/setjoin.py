@@ -133,6 +133,11 @@ def part_keys(hashes: np.ndarray, first: np.ndarray, classes: Classes) -> tuple[
     return np.concatenate(docs), np.concatenate(keys), np.concatenate(held)
 
 
+def strong_postings(keys: np.ndarray, strong: np.ndarray) -> np.ndarray:
+    """Which postings belong to a key that any document holds as strong: what is one set's whole may be a small part of another, and those two have to meet."""
+    return np.isin(keys, keys[strong > 0])
+
+
 def stars(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (document, least document with an equal key) pairs, and which rows are a key's least."""
     order = np.lexsort((docs, keys))
@@ -384,7 +389,7 @@ def similar(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text
         """Of strong keys, links with the least document; of weak ones that several documents have, the postings by document."""
         high, low, docs_, strong = unpack_all(POSTING, rows.column("payload").to_pylist())
         keys = high.astype(np.uint64) << np.uint64(16) | low.astype(np.uint64)
-        sure = strong > 0
+        sure = strong_postings(keys, strong)
         links = links_out(*stars(keys[sure], docs_[sure])[:2])
         keys, docs_ = keys[~sure], docs_[~sure]
         order = np.argsort(keys, kind="stable")

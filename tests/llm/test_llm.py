@@ -320,6 +320,35 @@ def test_equal_parts_and_bitmaps_lose_no_link(sets, percent):
                 assert j not in found
 
 
+@given(st.sampled_from([50, 80, 90]), st.integers(1, 12), st.integers(0, 3), st.integers(0, 1 << 32))
+@settings(max_examples=150, deadline=None)
+def test_linked_sets_meet_on_one_side_of_the_flag(percent, n, more, seed):
+    rng = random.Random(seed)
+    pool = np.array(rng.sample(range(1 << 62), 12 * (n + more)), np.uint64)
+    sets = []
+    for k in range(12):
+        x = pool[k * (n + more) : (k + 1) * (n + more)]
+        sets += [np.sort(x[:n]), np.sort(x)]
+    first = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    of, keys, held = setjoin.part_keys(np.concatenate(sets), first, setjoin.Classes(percent))
+    sure = setjoin.strong_postings(keys, (held >= setjoin.STRONG).astype(np.uint8))
+    assert not set(keys[sure].tolist()) & set(keys[~sure].tolist())
+    if 100 * n >= percent * (n + more):
+        for k in range(0, len(sets), 2):
+            assert any(set(keys[(of == k) & side].tolist()) & set(keys[(of == k + 1) & side].tolist()) for side in (sure, ~sure))
+
+
+def test_short_near_copies_meet(spark):
+    rng = random.Random(9)
+    texts = []
+    for k in range(600):
+        words = ["".join(rng.choices("abcdefgh", k=7)) for _ in range(9 + k % 2)]
+        texts += [" ".join(words[:-1]), " ".join(words)]  # 4 and 5 or 5 and 6 shingles of five words
+    rows = list(enumerate(texts))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in setjoin.similar(d, 5, 80).collect()} == {i: i - i % 2 for i, _ in rows}
+
+
 # --- 7 ---
 
 
