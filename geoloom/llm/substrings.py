@@ -1,9 +1,8 @@
 """Removal of repeated byte strings and repeated word windows from documents.
 
-bytes_dedup: suffix-array style. A byte's longest previous factor is the longest string from there that also
-starts earlier (smaller id, or same document, earlier). Cut at depth LENGTH the suffix order has equal strings side by
-side, ordered by place; then a suffix's previous smaller position is its neighbour, and its longest previous
-factor reaches LENGTH if and only if that neighbour is equal. Bytes covered by such strings go; the first copy stays.
+bytes_dedup: windows of LENGTH bytes by super-k-mers; a window that also starts earlier (smaller id, or same document, earlier) goes,
+the earliest stays. Those are the bytes that previous factors of LENGTH or more cover; neither a corpus suffix order nor
+longest-previous-factor arrays are computed, as only whether windows are equal matters.
 
 words_dedup: windows of WORDS words by super-k-mers; windows whose words also start in a document with a smaller id go.
 
