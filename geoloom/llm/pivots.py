@@ -7,13 +7,15 @@ A list over BLOCK vectors is dealt out as pairs of sub-lists. Pairs stay inside
 counts for each vector and links that join up what the task has found.
 
 Broadcast: the pivots, PIVOTS at most. Vectors that are null, zero or hold null or non-finite components link with
-nothing but stay in the result, as do vectors of another length than most. Rows that share an id share its links.
+nothing but stay in the result. Each length has pivots and lists of its own. Rows are told apart by id and vector (a 64-bit
+hash of it): rows that share both share their links, and rows that share an id only have links of their own.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,26 +53,28 @@ def usable(vector: str):
 def near(vectors: DataFrame, least: float = 0.95, vector: str = "embedding", vec_id: str = "vec_id") -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     rows = vectors.select(F.coalesce(F.col(vec_id).cast("long"), F.lit(NULL_ID)).alias("key"), F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
+    rows = rows.withColumn("h", F.xxhash64("v"))
     good = rows.where(usable("v"))
-    sizes = good.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
+    sizes = good.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy("dim").collect()
     ids = F.when(F.col("key") != NULL_ID, F.col("key"))
-    if sizes is None:
+    if not sizes:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), ids.alias("component_id"), F.lit(True).alias("kept"))
-    dim, n = int(sizes.dim), int(sizes.n)
-    wanted = max(16, min(PIVOTS, n // ROWS_PER_PIVOT))
 
     def shares(v, by):
         """v over by(v), which is computed once and not for each element."""
         return F.get(F.transform(F.array(by(v)), lambda n: F.transform(v, lambda x: x / n)), F.lit(0))
 
     # Scaled first, so that neither huge nor tiny components overflow the norm.
-    unit = good.where(F.size("v") == dim).select("key", shares(F.col("v"), lambda v: F.array_max(F.transform(v, F.abs))).alias("v"))
-    unit = unit.select("key", shares(F.col("v"), lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))).alias("v")).dropDuplicates(["key"])
-    sample = unit.orderBy(F.xxhash64("key"), "key").limit(wanted).collect()
-    pivots = choose_pivots(np.array([r.v for r in sample]))
-    m = len(pivots)
-    listed = min(LISTED, m)
-    shared = min(SHARED, listed)
+    unit = good.select("key", "h", shares(F.col("v"), lambda v: F.array_max(F.transform(v, F.abs))).alias("v"))
+    unit = unit.select("key", "h", shares(F.col("v"), lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))).alias("v")).dropDuplicates(["key", "h"])
+    #: For each length its pivots, and the number of its first one.
+    books: dict[int, tuple[np.ndarray, int]] = {}
+    at = 0
+    for dim, n in sizes:
+        wanted = max(16, min(PIVOTS, n // ROWS_PER_PIVOT))
+        sample = unit.where(F.size("v") == dim).orderBy(F.xxhash64("key"), "key", "h").limit(wanted).collect()
+        books[dim] = choose_pivots(np.array([r.v for r in sample])), at
+        at += len(books[dim][0])
     floor = least
 
     def matrix(col: pa.Array) -> np.ndarray:
@@ -81,32 +85,41 @@ def near(vectors: DataFrame, least: float = 0.95, vector: str = "embedding", vec
     def describe(batches):
         """A row for each pivot a vector names, with all it names."""
         for b in batches:
-            for at in range(0, b.num_rows, 2048):
-                part = b.slice(at, 2048)
-                like = matrix(part.column(1)) @ pivots.T
-                best = np.argpartition(-like, listed - 1, axis=1)[:, :listed] if listed < m else np.argsort(-like, axis=1)
-                order = np.take_along_axis(like, best, axis=1).argsort(axis=1)[:, ::-1]
-                best = np.take_along_axis(best, order, axis=1).astype(np.int32)
-                where = pa.array(np.repeat(np.arange(part.num_rows), listed))
-                names = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * listed, pa.int32()), pa.array(best.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(best.ravel()), part.column(0).take(where), part.column(1).take(where), names.take(where)], names=["pivot", "key", "v", "names"])
-
-    postings = unit.mapInArrow(describe, "pivot int, key long, v array<double>, names array<int>")
+            dims = pa.compute.list_value_length(b.column(2))
+            for dim in dims.unique().to_pylist():
+                pivots, base = books[dim]
+                m = len(pivots)
+                listed = min(LISTED, m)
+                same = b.filter(pa.compute.equal(dims, dim))
+                for at in range(0, same.num_rows, 2048):
+                    part = same.slice(at, 2048)
+                    like = matrix(part.column(2)) @ pivots.T
+                    best = np.argpartition(-like, listed - 1, axis=1)[:, :listed] if listed < m else np.argsort(-like, axis=1)
+                    order = np.take_along_axis(like, best, axis=1).argsort(axis=1)[:, ::-1]
+                    best = np.take_along_axis(best, order, axis=1).astype(np.int32)
+                    where = pa.array(np.repeat(np.arange(part.num_rows), listed))
+                    names = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * listed, pa.int32()), pa.array(best.ravel()))
+                    cols = [part.column(k).take(where) for k in range(3)]
+                    yield pa.RecordBatch.from_arrays([pa.array(best.ravel() + np.int32(base)), *cols, names.take(where)], names=["pivot", "key", "h", "v", "names"])
+
+    postings = unit.mapInArrow(describe, "pivot int, key long, h long, v array<double>, names array<int>")
     # The size of each list: as many rows as pivots, which is bounded, so it is broadcast.
     length = F.broadcast(cut(postings.groupBy("pivot").agg(F.count("*").alias("n"))).withColumn("subs", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")).select("pivot", "subs"))
-    sub = F.pmod(F.xxhash64("key"), F.col("subs")).cast("int")
+    sub = F.pmod(F.xxhash64("key", "h"), F.col("subs")).cast("int")
     both = F.when(F.col("subs") == 1, F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))).otherwise(
         F.expr("transform(sequence(0, subs - 1), s -> struct(least(s, sub) as x, greatest(s, sub) as y))")
     )
-    dealt = postings.join(length, "pivot").withColumn("sub", sub).withColumn("pair", F.explode(both)).select("pivot", "pair", "sub", "key", "v", "names")
+    dealt = postings.join(length, "pivot").withColumn("sub", sub).withColumn("pair", F.explode(both)).select("pivot", "pair", "sub", "key", "h", "v", "names")
 
     def verify(rows: pa.Table) -> pa.Table:
         """In one list, or a pair of its sub-lists: links whose first shared pivot this is."""
-        rows = rows.sort_by("key").combine_chunks()
-        pivot = rows.column("pivot")[0].as_py()
+        rows = rows.sort_by([("key", "ascending"), ("h", "ascending")]).combine_chunks()
         pair = rows.column("pair")[0].as_py()
-        key, side = rows.column("key").to_numpy(), rows.column("sub").to_numpy()
+        key, h, side = (rows.column(c).to_numpy() for c in ("key", "h", "sub"))
         v, names = matrix(rows.column("v")), matrix(rows.column("names"))
+        pivots, base = books[v.shape[1]]
+        m, pivot = len(pivots), rows.column("pivot")[0].as_py() - base
+        shared = min(SHARED, LISTED, m)
         n = len(key)
         degree = np.zeros(n, np.int64)
         root = np.arange(n)
@@ -131,14 +144,17 @@ def near(vectors: DataFrame, least: float = 0.95, vector: str = "embedding", vec
             join_up(root, x + a, y)
         links = root != np.arange(n)
         out = np.flatnonzero((degree > 0) | links)
-        return pa.table({"key": pa.array(key[out]), "n": pa.array(degree[out]), "to": pa.array(key[root[out]])})
-
-    found = cut(dealt.groupBy("pivot", "pair").applyInArrow(verify, "key long, n long, to long"))
-    degree = found.groupBy("key").agg(F.sum("n").alias("n_links"))
-    joined = components(found.where("key != to").select(F.col("key").alias("a"), F.col("to").alias("b"))).withColumnRenamed("node", "key")
+        to = root[out]
+        return pa.table({"key": pa.array(key[out]), "h": pa.array(h[out]), "n": pa.array(degree[out]), "to": pa.array(key[to]), "to_h": pa.array(h[to])})
+
+    found = cut(dealt.groupBy("pivot", "pair").applyInArrow(verify, "key long, h long, n long, to long, to_h long"))
+    degree = found.groupBy("key", "h").agg(F.sum("n").alias("n_links"))
+    # Nodes are in the order of their ids, so a component's least node has its least id.
+    links = found.select(F.struct("key", "h").alias("a"), F.struct(F.col("to").alias("key"), F.col("to_h").alias("h")).alias("b")).where("a != b")
+    joined = components(links).select("node.key", "node.h", F.col("component.key").alias("component"))
     component = F.coalesce("component", "key")
     return (
-        rows.join(degree, "key", "left").join(joined, "key", "left")
+        rows.join(degree, ["key", "h"], "left").join(joined, ["key", "h"], "left")
         .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(component != NULL_ID, component).alias("component_id"), (component == F.col("key")).alias("kept"))
     )
 

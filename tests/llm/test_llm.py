@@ -71,6 +71,22 @@ def test_hot_vectors_are_dealt_out(spark, monkeypatch):
     assert {x.n_links for x in got} == {89} and {x.component_id for x in got} == {0}
 
 
+def test_vectors_of_every_length_and_row_are_compared(spark):
+    r = np.random.default_rng(7)
+    a, b, c = r.normal(size=(3, 16)).tolist()
+    short, far = [1.0, 2.0, 3.0], [3.0, -1.0, 0.5]
+    rows = [(1, a), (2, a), (3, short), (4, short), (4, short), (5, far), (6, b), (6, c), (7, b), (8, c), (None, far), (None, [0.5] * 5)]
+    rows += [(100 + i, v) for i, v in enumerate(r.normal(size=(60, 16)).tolist())]
+    got = pivots.near(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.95).collect()
+    assert len(got) == len(rows)
+    of = defaultdict(list)
+    for x in got:
+        of[x.vec_id].append((x.n_links, x.component_id))
+    assert of[1] == [(1, 1)] and of[2] == [(1, 1)] and of[3] == [(1, 3)] and of[4] == [(1, 3)] * 2
+    assert of[6] == [(1, 6)] * 2 and of[7] == [(1, 6)] and of[8] == [(1, 6)]
+    assert of[5] == [(1, None)] and sorted(of[None]) == [(0, None), (1, None)]  # a null id is the least
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(500, 501), (501, 500), (7, 7)] + [(1000, 1000 + i) for i in range(1, 50)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
