@@ -1,12 +1,14 @@
 """Vectorised hashes of bytes, words and spans of them.
 
 A span's hash is a polynomial over the 64-bit ring with random odd-mixed symbol values,
-taken from prefix sums, so any span costs one subtraction and one multiplication.
+taken from prefix sums, so any span costs one subtraction and one multiplication. Texts can be made that agree in it, so it only ever says
+what may be equal (minimisers, places in a table); where equality counts, bytes are compared, or keyed_hashes (SipHash) and it together.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 
 BASE = 0x9E3779B97F4A7C15 | 1
 MASK = (1 << 64) - 1
@@ -91,6 +93,13 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> t
     return Spans((BYTE_LOWER if lower else BYTE)[data]).of(s, e), first
 
 
+def keyed_hashes(data: np.ndarray, lower: bool = False) -> np.ndarray:
+    """SipHash of each word of data, which holds no word that goes over the end of a text; in the order of words()."""
+    blob = data.tobytes()
+    parts = (blob.lower() if lower else blob).split()  # bytes are split at x20 and x09 to x0D, and A-Z alone are lower-cased
+    return pd.util.hash_array(np.array(parts, dtype=object), categorize=False) if parts else np.zeros(0, np.uint64)
+
+
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """The least of each width values in a row."""
     if len(x) < width:

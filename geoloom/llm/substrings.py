@@ -1,13 +1,14 @@
 """Removal of repeated byte strings and repeated word windows from documents.
 
-bytes_dedup: windows of LENGTH bytes by super-k-mers; a window that also starts earlier (smaller id, or same document, earlier) goes,
-the earliest stays. Those are the bytes that previous factors of LENGTH or more cover; neither a corpus suffix order nor
-longest-previous-factor arrays are computed, as only whether windows are equal matters.
+bytes_dedup: a byte goes if a previous factor of LENGTH bytes or more covers it. Strings that share a minimiser meet in one bucket (windows.py), where
+longest-previous-factor arrays are made from the order of their suffixes (factors.py); equal strings are combined before they travel. So
+the earliest window of each content stays (smaller id, or same document, earlier) and all others go.
 
 words_dedup: windows of WORDS words by super-k-mers; windows whose words also start in a document with a smaller id go.
 
-Both judge the input, not what is left. Null and empty texts come back with nothing removed. Rows that share an id and text
-get equal results.
+Both judge the input, not what is left. Null and empty texts come back with nothing removed. A null id comes before every other id.
+Rows that share an id and text get equal results; rows that share an id only are documents of their own, which for bytes_dedup follow
+each other by a hash of their text and for words_dedup don't come before each other.
 """
 
 from __future__ import annotations
