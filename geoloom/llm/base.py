@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Stands in for a null id inside an operator: it sorts first.
@@ -27,11 +27,13 @@ CHUNK_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> None:
-    """Use the cluster's checkpoint folder; fall back to a fresh one where none is set (tests)."""
+    """Use the cluster's checkpoint folder; in local mode, where one machine has it all, fall back to a fresh one."""
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return
     place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(place or tempfile.mkdtemp(prefix="geoloom-"))
 
 
@@ -53,11 +55,25 @@ def bucket_count(df: DataFrame, per_bucket: int = 8 << 20) -> int:
     return max(least, min(1 << 20, -(-input_bytes(df) // per_bucket)))
 
 
+def names_of(text: str = "text", doc_id: str = "doc_id") -> tuple[Column, Column]:
+    """key and h of a row."""
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)), F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs hasn't."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """key, h, doc_id and text of every row; (key, h) names a document, key orders them."""
+    key, h = names_of(text, doc_id)
     return docs.select(
-        F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("key"),
-        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"),
+        key.alias("key"),
+        h.alias("h"),
         F.col(doc_id).cast("long").alias("doc_id"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )

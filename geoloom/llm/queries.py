@@ -47,7 +47,7 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return setjoin.similar(table(spark, sf_dir, "documents"), size=3, percent=90)
+    return setjoin.similar(table(spark, sf_dir, "documents"), size=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
 def op6_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:

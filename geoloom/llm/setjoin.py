@@ -1,6 +1,6 @@
 """Similarity groups of documents by Jaccard likeness of word shingles, by T-occurrence search.
 
-Words are [^ \\t-\\r]+ with A-Z lower-cased; a document's set has its distinct shingles of `size` words
+Words are [^ \t-\r]+ with A-Z lower-cased; a document's set has its distinct shingles of `size` words
 (with fewer words, the whole sequence as one; without words, none, and it links with nothing). Two
 documents link when 100 * |both| >= percent * |either|.
 
@@ -16,8 +16,13 @@ documents link when 100 * |both| >= percent * |either|.
    needs no search of its own, so a large group of copies costs about one search for each document outside it.
 3. Verified links are joined up to components.
 
-Copies of a set are combined before the first shuffle. A block over BLOCK shingles is dealt out as pairs of its sub-blocks. Shingles are
-compared by 64-bit hashes. Rows that share an id share a component; null texts are empty.
+Copies of a set are combined before the first shuffle. A block over BLOCK shingles is dealt out as pairs of its sub-blocks.
+
+What is equal: the search compares shingles by their words, so no link is found that isn't one. Up to there shingles go by 64-bit
+hashes, equal ones always alike, so no link is lost either; n_shingles counts distinct SipHash values (two different shingles of one text
+of 10^4 words agree with a chance of 3e-12), and sets count as copies if size and two independent 64-bit sums agree.
+Every row is a document of its own: rows that share an id, null ids too, are linked by their texts only. A null id is no one's component_id, unless
+nothing else is there: then it is null. Null texts are empty.
 """
 
 from __future__ import annotations
@@ -25,14 +30,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import NULL_ID, bucket_count, cut, documents, release, sliced, text_bytes
+from .base import bucket_count, cut, documents, fresh, names_of, release, sliced, text_bytes
 from .graph import components
-from .hashing import Spans, expand, mix, word_hashes
+from .hashing import expand, keyed_hashes, mix, word_hashes
 from .windows import pack_columns, runs_of, split_rows, unpack_all, unpack_columns
 
 POSTING = ("<u4", "<u2", "<i8", "u1")  # part key above the bucket, document, whether the part is strong
@@ -44,7 +50,8 @@ PAIRS = 1 << 18
 STRONG = 6
 SHARED_KEY = ("<u4", "<u8", "<i8")  # bucket, key, document
 PLACED = ("<u8", "<i8", "<i8")  # key, document, its cluster
-SALTS = (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A35)
+#: Stands in for a null id where the least id is looked for.
+LAST = (1 << 63) - 1
 #: Shingles of a block that one task searches.
 BLOCK = 1 << 20
 #: The share of the required overlap that decides how many lists count as long.
@@ -52,20 +59,51 @@ MU = 0.0085
 GATHER = 1 << 20
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingle hashes of texts on end, ascending in each, and the first of each text (one more than texts)."""
-    sym, first = word_hashes(data, offsets, lower=True)
+def chained(sym: np.ndarray, begin: np.ndarray, size: np.ndarray, most: int) -> np.ndarray:
+    """Hashes of the size symbols (most at most) from each begin on."""
+    out = mix(size.astype(np.uint64))
+    for k in range(most):
+        on = size > k
+        out[on] = mix(out[on] * np.uint64(0x9FB21C651E98DF25) ^ sym[begin[on] + k])
+    return out
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of texts on end, ascending in each, a second hash of each, and the first of each text (one more than texts)."""
+    second, first = word_hashes(data, offsets, lower=True)
     n = np.diff(first)
-    spans = Spans(sym)
+    sym = keyed_hashes(data, lower=True)
+    if len(sym) != len(second):  # a word that goes over the end of a text
+        sym = np.concatenate([keyed_hashes(data[a:b], lower=True) for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
     count = np.where(n >= size, n - size + 1, np.minimum(n, 1))
     begin = expand(first[:-1], count)
     doc = np.repeat(np.arange(len(n)), count)
-    hashes = spans.of(begin, begin + np.minimum(size, n)[doc])
+    hashes = chained(sym, begin, np.minimum(size, n)[doc], size)
     order = np.lexsort((hashes, doc))
     hashes = hashes[order]
     new = np.ones(len(hashes), bool)
     new[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
-    return hashes[new], np.searchsorted(doc[new], np.arange(len(n) + 1))
+    kept = order[new]
+    return hashes[new], chained(second, begin[kept], np.minimum(size, n)[doc[kept]], size), np.searchsorted(doc[new], np.arange(len(n) + 1))
+
+
+def exact_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of some texts, numbered by their words, ascending in each, and the first of each text (one more than texts)."""
+    words, length = [], []
+    for t in texts:
+        w = t.lower().split()
+        words += w if len(w) >= size or not w else w + [b" "] * (size - len(w))  # no word: a short text's shingle is unlike all others
+        length.append(len(w))
+    n = np.maximum(np.array(length, np.int64), 0)
+    n = np.where((n > 0) & (n < size), size, n)
+    sym = pd.factorize(np.array(words, dtype=object))[0].astype(np.uint64)
+    count = np.where(n > 0, n - size + 1, 0)
+    begin = expand(np.cumsum(n) - n, count)
+    rank = sym[begin] if len(begin) else np.zeros(0, np.uint64)
+    for k in range(1, size):
+        rank = np.unique(rank << np.uint64(32) | sym[begin + k], return_inverse=True)[1].astype(np.uint64)
+    both = np.unique(np.repeat(np.arange(len(n), dtype=np.uint64), count) << np.uint64(32) | rank)
+    return both & np.uint64((1 << 32) - 1), np.searchsorted(both >> np.uint64(32), np.arange(len(n) + 1, dtype=np.uint64))
 
 
 def summed(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -300,16 +338,6 @@ class Index:
         return candidates[100 * both >= percent * (self.sizes[q] + self.sizes[candidates] - both)]
 
 
-def sets_of(rows: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """shingle_sets of the texts of some rows, slice by slice."""
-    hashes, first = [], [np.zeros(1, np.int64)]
-    for part in sliced(iter(rows.select(["text"]).to_batches()), 2 << 20):
-        h, f = shingle_sets(*text_bytes(part.column(0)), size)
-        hashes.append(h)
-        first.append(f[1:] + first[-1][-1])
-    return np.concatenate(hashes), np.concatenate(first)
-
-
 def forest(hashes: np.ndarray, first: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links that join every linked pair of a block's sets up."""
     n = len(first) - 1
@@ -336,21 +364,23 @@ def forest(hashes: np.ndarray, first: np.ndarray, percent: int) -> list[tuple[in
 
 
 def similar(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, component_id of every row: the least id that links reach, its own included."""
+    """doc_id, n_shingles, component_id (the least id that links reach, its own included) of every row; key and h (as in base.documents), and kept: whether it is the first row of its group."""
     d = documents(docs, text, doc_id)
     n_buckets = 2 * bucket_count(docs, 8 << 20)
     classes = Classes(percent)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in sliced(batches, 2 << 20):
-            hashes, first = shingle_sets(*text_bytes(rows.column("text")), size)
+            hashes, second, first = shingle_sets(*text_bytes(rows.column("text")), size)
             cols = [rows.column("key"), rows.column("h"), rows.column("doc_id"), pa.array(np.diff(first))]
-            cols += [pa.array(summed(mix(hashes ^ np.uint64(salt)), first).astype(np.int64)) for salt in SALTS]
+            cols += [pa.array(summed(mix(x), first).astype(np.int64)) for x in (hashes, second)]
             cols.append(pa.array(bitmaps(hashes, first), pa.binary()))
             yield pa.RecordBatch.from_arrays(cols, names=["key", "h", "doc_id", "n_shingles", "s1", "s2", "bitmap"])
         release()
 
-    described = cut(d.mapInArrow(describe, "key long, h long, doc_id long, n_shingles long, s1 long, s2 long, bitmap binary"))
+    described = d.mapInArrow(describe, "key long, h long, doc_id long, n_shingles long, s1 long, s2 long, bitmap binary")
+    # Written with its number, so that a row has one number ever after. Candidates go by node; two rows with one node only are candidates together.
+    described = cut(described.withColumn("row", F.monotonically_increasing_id()).withColumn("node", F.xxhash64("key", "h")))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -368,14 +398,14 @@ def similar(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.binary())], names=["bucket", "payload"])
 
         for rows in sliced(batches, 2 << 20):
-            hashes, first = shingle_sets(*text_bytes(rows.column("text")), size)
+            hashes, second, first = shingle_sets(*text_bytes(rows.column("text")), size)
             of, keys, count = part_keys(hashes, first, classes)
-            key = rows.column("key").to_numpy(zero_copy_only=False)
+            node = rows.column("node").to_numpy(zero_copy_only=False)
             # Of copies that meet here the first one speaks for all; copies of a set are joined up by its sums further on.
-            names = zip(np.diff(first).tolist(), *(summed(mix(hashes ^ np.uint64(salt)), first).tolist() for salt in SALTS), strict=True)
-            fresh = np.array([seen.setdefault(name, i) == i for i, name in enumerate(names, len(seen) << 32)], bool)
-            stay = fresh[of]
-            held.append((key[of[stay]], keys[stay], count[stay] >= STRONG))
+            names = zip(np.diff(first).tolist(), *(summed(mix(x), first).tolist() for x in (hashes, second)), strict=True)
+            first_seen = np.array([seen.setdefault(name, i) == i for i, name in enumerate(names, len(seen) << 32)], bool)
+            stay = first_seen[of]
+            held.append((node[of[stay]], keys[stay], count[stay] >= STRONG))
             if sum(len(h[0]) for h in held) >= GATHER:
                 yield from flush()
         if held:
@@ -431,9 +461,11 @@ def similar(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text
         out = []
         if sets.num_rows and wanted.num_rows:
             bucket, keys, docs_ = unpack_all(SHARED_KEY, wanted.column("payload").to_pylist())
-            have = sets.column("key").to_numpy()
+            have = sets.column("node").to_numpy()
             order = np.argsort(have, kind="stable")
-            row = order[np.minimum(np.searchsorted(have[order], docs_), len(have) - 1)]
+            lo, hi = (np.searchsorted(have[order], docs_, side=side) for side in ("left", "right"))
+            row = order[expand(lo, hi - lo)]
+            bucket, keys = np.repeat(bucket, hi - lo), np.repeat(keys, hi - lo)
             n, maps = sets.column("n_shingles").to_numpy(), sets.column("bitmap").to_pylist()
             by = np.argsort(bucket, kind="stable")
             cuts = runs_of([bucket[by]])
@@ -469,52 +501,74 @@ def similar(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text
         both = np.unique(np.stack(unpack_all(LINK, rows.column("links").to_pylist())), axis=1)
         return pa.table({"a": pa.array(both[0]), "b": pa.array(both[1])})
 
-    postings = d.select("key", "text").mapInArrow(post, "bucket int, payload binary")
+    postings = d.select(F.xxhash64("key", "h").alias("node"), "text").mapInArrow(post, "bucket int, payload binary")
     met = cut(postings.groupBy("bucket").applyInArrow(meet, "to int, links binary, payload binary"))
     sure = cut(met.where("links is not null").select("to", "links").groupBy("to").applyInArrow(once, "a long, b long"))
     clusters = cut(components(sure))
     clustered = clusters.select("node", "component", F.pmod("node", F.lit(n_buckets)).cast("int").alias("to"))
     weak = met.where("payload is not null").select("to", "payload")
     between = clustered.groupBy("to").cogroup(weak.groupBy("to")).applyInArrow(place, "bucket int, payload binary").groupBy("bucket").applyInArrow(spanning, "to int, payload binary")
-    by_doc = described.select("key", "n_shingles", "bitmap", F.pmod("key", F.lit(n_buckets)).cast("int").alias("to"))
+    # Equal rows count once, before they meet.
+    by_doc = described.select("node", "n_shingles", "bitmap").distinct().withColumn("to", F.pmod("node", F.lit(n_buckets)).cast("int"))
     attached = by_doc.groupBy("to").cogroup(between.groupBy("to")).applyInArrow(attach, "bucket int, keys binary, sets binary, maps binary")
     checked = attached.groupBy("bucket").applyInArrow(compare, "to int, links binary").groupBy("to").applyInArrow(once, "a long, b long")
     blocks = cut(components(sure.unionByName(checked)))
 
+    # Documents in the order of their ids, null ids last, so that a component's first one has its least id.
+    ident = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "row")
     # One document for each distinct set; its copies link with it, and it takes part in the search if its set is in a block.
     sums = ["n_shingles", "s1", "s2"]
-    sets = described.where("n_shingles > 0").groupBy(*sums).agg(F.min(F.struct("key", "h")).alias("of"))
+    filled = described.where("n_shingles > 0").select("key", "h", ident.alias("ident"), "node", *sums)
+    sets = filled.groupBy(*sums).agg(F.min(F.struct("ident", "key", "h")).alias("of"))
     # Copies link with the first of a salted part of them, and those with the first of all, so that no group of copies meets in one task.
-    salt = F.pmod(F.xxhash64("key"), F.lit(n_buckets))
-    parts = described.where("n_shingles > 0").select("key", *sums).withColumn("first", F.min("key").over(Window.partitionBy(*sums, salt)))
-    heads = parts.where("key = first").withColumn("first", F.min("key").over(Window.partitionBy(*sums)))
-    copies = parts.unionByName(heads).where("key != first").select(F.col("key").alias("a"), F.col("first").alias("b"))
-    members = described.select("key", "n_shingles", "s1", "s2").join(blocks.withColumnRenamed("node", "key"), "key")
-    chosen = members.groupBy("component", "n_shingles", "s1", "s2").agg(F.min("key").alias("any")).join(sets, ["n_shingles", "s1", "s2"]).select("component", "n_shingles", "of").distinct()
+    salt = F.pmod(F.xxhash64("ident"), F.lit(n_buckets))
+    parts = filled.select("ident", *sums).withColumn("first", F.min("ident").over(Window.partitionBy(*sums, salt)))
+    heads = parts.where("ident = first").withColumn("first", F.min("ident").over(Window.partitionBy(*sums)))
+    copies = parts.unionByName(heads).where("ident != first").select(F.col("ident").alias("a"), F.col("first").alias("b"))
+    members = filled.select("node", *sums).join(blocks, "node")
+    chosen = members.groupBy("component", *sums).agg(F.count("*").alias("rows")).join(sets, sums).select("component", "n_shingles", "of")
     weight = chosen.groupBy("component").agg(F.sum("n_shingles").alias("weight"), F.count("*").alias("sets")).where("sets > 1")
-    picked = chosen.join(weight, "component").select(F.col("of.key").alias("key"), F.col("of.h").alias("h"), "component", F.ceil(F.col("weight") / F.lit(BLOCK)).cast("int").alias("subs"))
+    picked = chosen.join(weight, "component").select("of.key", "of.h", "of.ident", "component", F.ceil(F.col("weight") / F.lit(BLOCK)).cast("int").alias("subs"))
     mine = F.pmod(F.xxhash64("key", "h"), F.col("subs")).cast("int")
     pairs = F.when(F.col("subs") == 1, F.array(F.lit("0"))).otherwise(
         F.expr("transform(filter(sequence(0, subs - 1), s -> s != sub), s -> concat(least(s, sub), '-', greatest(s, sub)))")
     )
-    dealt = picked.withColumn("sub", mine).withColumn("pair", F.explode(pairs)).select("key", "h", "component", "pair")
-    placed = d.join(dealt, ["key", "h"]).select("key", "component", "pair", "text", F.pmod(F.xxhash64("component", "pair"), F.lit(n_buckets)).cast("int").alias("to"))
+    dealt = picked.withColumn("sub", mine).withColumn("pair", F.explode(pairs)).select("key", "h", "ident", "component", "pair")
+    # Equal rows hold the text more than once; one of them is enough.
+    held = d.select("key", "h", "text").join(dealt.select("key", "h").distinct(), ["key", "h"], "left_semi").dropDuplicates(["key", "h"])
+    placed = held.join(dealt, ["key", "h"]).select("ident.id", "ident.row", "component", "pair", "text", F.pmod(F.xxhash64("component", "pair"), F.lit(n_buckets)).cast("int").alias("to"))
 
     def search(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("component", "ascending"), ("pair", "ascending"), ("key", "ascending")]).combine_chunks()
-        out: list[tuple[int, int]] = []
-        n = rows.num_rows
-        if n:
+        rows = rows.sort_by([("component", "ascending"), ("pair", "ascending"), ("id", "ascending"), ("row", "ascending")]).combine_chunks()
+        a_, b_ = [], []
+        if rows.num_rows:
             group = pa.compute.rank(pa.compute.binary_join_element_wise(rows.column("component").cast(pa.string()), rows.column("pair"), "|"), tiebreaker="dense").to_numpy()
             cuts = runs_of([group])
-            key = rows.column("key").to_numpy()
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 if b - a > 1:
-                    out += [(int(key[a + x]), int(key[a + y])) for x, y in forest(*sets_of(rows.slice(a, b - a), size), percent)]
+                    texts = [t.encode() for t in rows.column("text").slice(a, b - a).to_pylist()]
+                    for x, y in forest(*exact_sets(texts, size), percent):
+                        a_.append(a + x)
+                        b_.append(a + y)
         release()
-        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
-
-    verified = placed.groupBy("to").applyInArrow(search, "a long, b long")
-    found = components(copies.unionByName(verified)).withColumnRenamed("node", "key")
-    component = F.coalesce("component", "key")
-    return described.join(found, "key", "left").select("doc_id", "n_shingles", F.when(component != NULL_ID, component).alias("component_id"))
+        one, other = rows.take(pa.array(a_, pa.int64())), rows.take(pa.array(b_, pa.int64()))
+        return pa.table({"a_id": one.column("id"), "a_row": one.column("row"), "b_id": other.column("id"), "b_row": other.column("row")})
+
+    verified = placed.groupBy("to").applyInArrow(search, "a_id long, a_row long, b_id long, b_row long")
+    links = verified.select(*(F.struct(F.col(f"{x}_id").alias("id"), F.col(f"{x}_row").alias("row")).alias(x) for x in "ab"))
+    found = components(copies.unionByName(links)).select(F.col("node.row").alias("row"), F.col("component.id").alias("first_id"), F.col("component.row").alias("first_row"))
+    first_id = F.coalesce("first_id", "doc_id")
+    kept = F.coalesce(F.col("first_row") == F.col("row"), F.lit(True))
+    return described.join(found, "row", "left").select("doc_id", "n_shingles", F.when(first_id != LAST, first_id).alias("component_id"), "key", "h", kept.alias("kept"))
+
+
+def first_of_each(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of docs that are the first of their group (the least id, null ids last), one of equal rows; all columns as they are. Documents without words all stay."""
+    key, h, what, nth = (fresh(docs, x) for x in ("key", "h", "what", "nth"))
+    groups = similar(docs, size, percent, text, doc_id).groupBy("key", "h").agg(F.max("kept").alias("kept"), F.count("*").alias("rows"), F.max("n_shingles").alias("n"))
+    marks = groups.where(~F.col("kept") | ((F.col("rows") > 1) & (F.col("n") > 0))).select(F.col("key").alias(key), F.col("h").alias(h), F.col("kept").alias(what))
+    named = docs.select("*", *(c.alias(n) for c, n in zip(names_of(text, doc_id), (key, h), strict=True)))
+    plain = named.join(marks, [key, h], "left_anti").select(*docs.columns)
+    # Equal ids and texts, of which one stays.
+    several = named.join(marks.where(what), [key, h]).withColumn(nth, F.row_number().over(Window.partitionBy(key, h).orderBy(F.xxhash64(*docs.columns))))
+    return plain.unionByName(several.where(F.col(nth) == 1).select(*docs.columns))
