@@ -46,7 +46,10 @@ GROUPS = 512
 
 
 class Words:
-    """Ids of texts, word by word, from a sorted table of word hashes (64 bits) that grows as words turn up."""
+    """Ids of texts, word by word, from a table that grows as words turn up, sorted by the words' hashes.
+
+    A hash only says where to look: the word found there is compared byte by byte, and one that differs is encoded by itself.
+    """
 
     def __init__(self, path: str) -> None:
         import os
@@ -67,15 +70,24 @@ class Words:
 
     def clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
+        self.text_at = np.zeros(0, np.int64)
+        self.text_size = np.zeros(0, np.int64)
+        self.text = np.zeros(1 << 16, np.uint8)
+        self.text_used = 0
         self.begin = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
         self.ids = np.zeros(1 << 16, "<u4")
         self.used = 0
         self.parts: dict[str, bytes] = {"": b""}
 
-    def learn(self, hashes: np.ndarray, words_: list[str]) -> None:
+    def learn(self, hashes: np.ndarray, words_: list[bytes]) -> None:
         """Add words, in the order of their hashes, to the table."""
-        packed = self.encode_words(words_)
+        packed = self.encode_words([w.decode() for w in words_])
+        blob = np.frombuffer(b"".join(words_), np.uint8)
+        size = np.array([len(w) for w in words_], np.int64)
+        while self.text_used + len(blob) > len(self.text):
+            self.text = np.concatenate([self.text, np.zeros(len(self.text), np.uint8)])
+        self.text[self.text_used : self.text_used + len(blob)] = blob
         new = np.frombuffer(b"".join(packed), "<u4")
         count = np.array([len(p) // 4 for p in packed], np.int64)
         while self.used + len(new) > len(self.ids):
@@ -83,6 +95,9 @@ class Words:
         self.ids[self.used : self.used + len(new)] = new
         at = np.searchsorted(self.keys, hashes)
         self.keys = np.insert(self.keys, at, hashes)
+        self.text_at = np.insert(self.text_at, at, self.text_used + np.cumsum(size) - size)
+        self.text_size = np.insert(self.text_size, at, size)
+        self.text_used += len(blob)
         self.begin = np.insert(self.begin, at, self.used + np.cumsum(count) - count)
         self.count = np.insert(self.count, at, count)
         self.used += len(new)
@@ -107,7 +122,7 @@ class Words:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts on end, each with end_id behind it, and where each begins (one more than texts)."""
-        if len(self.keys) > CACHE or self.used > 8 * CACHE:
+        if len(self.keys) > CACHE or self.used > 8 * CACHE or self.text_used > 32 * CACHE:
             self.clear()
         s, e, first = word_spans(data, offsets, SEPARATOR)
         hashes, at, inverse = np.unique(Spans(BYTE[data]).of(s, e), return_index=True, return_inverse=True)
@@ -115,15 +130,34 @@ class Words:
         new = self.keys[place] != hashes if len(self.keys) else np.ones(len(hashes), bool)
         if new.any():
             blob = data.tobytes()
-            self.learn(hashes[new], [blob[a:b].decode() for a, b in zip(s[at[new]].tolist(), e[at[new]].tolist(), strict=True)])
+            self.learn(hashes[new], [blob[a:b] for a, b in zip(s[at[new]].tolist(), e[at[new]].tolist(), strict=True)])
             place = np.searchsorted(self.keys, hashes)
         count = self.count[place][inverse]
+        odd = self.strangers(data, s, e, place[inverse])
+        if len(odd):
+            own = [np.frombuffer(p, "<u4") for p in self.encode_words([data[a:b].tobytes().decode() for a, b in zip(s[odd].tolist(), e[odd].tolist(), strict=True)])]
+            count[odd] = [len(x) for x in own]
         total = np.concatenate([[0], np.cumsum(count)])
         of = np.repeat(np.arange(len(first) - 1), np.diff(first))
         out = np.full(int(total[-1]) + len(first) - 1, end_id, "<u4")
-        out[np.arange(int(total[-1])) + np.repeat(of, count)] = self.ids[expand(self.begin[place][inverse], count)]
+        begin = self.begin[place][inverse]
+        begin[odd] = 0
+        out[np.arange(int(total[-1])) + np.repeat(of, count)] = self.ids[expand(begin, count) % len(self.ids)]
+        for k, i in enumerate(odd.tolist()):
+            out[total[i] + of[i] : total[i + 1] + of[i]] = own[k]
         return out, total[first] + np.arange(len(first))
 
+    def strangers(self, data: np.ndarray, s: np.ndarray, e: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The words [s, e) that aren't those of the table at place."""
+        size = e - s
+        odd = size != self.text_size[place]
+        same = np.flatnonzero(~odd)
+        starts = np.cumsum(size[same]) - size[same]
+        if len(same):
+            differ = data[expand(s[same], size[same])] != self.text[expand(self.text_at[place[same]], size[same])]
+            odd[same] = np.logical_or.reduceat(differ, starts)
+        return np.flatnonzero(odd)
+
 
 @lru_cache(maxsize=2)
 def words(path: str) -> Words:
