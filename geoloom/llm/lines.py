@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .base import NULL_ID, arrow_map, cut
+from .base import NULL_ID, arrow_map, cut, fresh
 
 MIN_LINES = 2
 
@@ -81,8 +81,9 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, text: str = "text",
     """docs, its text without the repeated lines, and n_lines, n_removed (of lines that aren't blank) and n_runs behind its columns; columns of docs by those names are replaced."""
     docs = docs.drop("n_lines", "n_removed", "n_runs")
     gone = repeated_lines(docs, min_lines, text, doc_id)
-    named = docs.withColumns({"__key": F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)), "__h": F.xxhash64(F.col(text))})
-    joined = named.join(gone.select(F.col("key").alias("__key"), F.col("h").alias("__h"), F.col("removed").alias("__removed")), ["__key", "__h"], "left").select(*docs.columns, "__removed")
+    key, h, gone_ = (fresh(docs, x) for x in ("key", "h", "removed"))
+    named = docs.select("*", F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias(key), F.xxhash64(F.col(text)).alias(h))
+    joined = named.join(gone.select(F.col("key").alias(key), F.col("h").alias(h), F.col("removed").alias(gone_)), [key, h], "left").select(*docs.columns, gone_)
     names = docs.columns
     at = names.index(text)
 
