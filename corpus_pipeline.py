@@ -32,10 +32,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group linked by shingles of five words and a likeness of 0.8 or more; rows without an id stay."""
-    docs = docs.select(*COLUMNS)
-    others = setjoin.similar(docs, size=5, percent=80).where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group linked by shingles of five words and a likeness of 0.8 or more: the one with the least id, or one without an id if none has any."""
+    return setjoin.first_of_each(docs.select(*COLUMNS), size=5, percent=80)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
