@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import evaluation, integrity, model, rasters, records, retrieval, streams, tiles  # noqa: F401
+from .plans import evaluation, harvest, integrity, model, provenance, rasters, records, retrieval, scoring, streams, tiles  # noqa: F401
 from .plans.registry import QUERIES, SQL, Query
 
 

@@ -5,11 +5,12 @@ Column functions throughout but for fuzzy_ratio, an Arrow UDF: Spark has no matc
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from difflib import SequenceMatcher
 from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
@@ -28,29 +29,63 @@ OVERLAY = r"(?i)([NSEW])\s*([0-9oOlIB]{1,3})[.,\s]{1,3}([0-9oOlIB]{3,8})"
 
 
 @lru_cache(maxsize=1)
-def _folding() -> tuple[str, str]:
-    """Every character whose compatibility form is one letter or digit under accents, and that letter."""
-    source, target = [], []
-    for i in range(0x80, 0x2FFF):
-        plain = [c for c in unicodedata.normalize("NFKD", chr(i)) if not unicodedata.combining(c)]
-        if len(plain) == 1 and plain[0].isascii() and plain[0].isalnum():
-            source.append(chr(i))
-            target.append(plain[0])
-    return "".join(source), "".join(target)
+def _folding() -> tuple[str, str, dict[str, str]]:
+    """Every character whose compatibility form has letters or digits under its accents: those with one and that letter, and those with several."""
+    source, target, several = [], [], {}
+    for i in range(0x80, 0x20000):
+        if 0xD800 <= i < 0xE000:
+            continue
+        plain = "".join(c for c in unicodedata.normalize("NFKD", chr(i)) if not unicodedata.combining(c))
+        if plain != chr(i) and any(c.isascii() and c.isalnum() for c in plain):
+            if len(plain) == 1:
+                source.append(chr(i))
+                target.append(plain)
+            else:
+                several[chr(i)] = plain
+    return "".join(source), "".join(target), several
 
 
 def fold(s: Column | str) -> Column:
-    """Lower case without accents, runs of anything but letters and digits as one space."""
-    source, target = _folding()
-    # Combining marks vanish; what has no plain letter becomes a space with the rest.
-    bare = F.translate(F.regexp_replace(col(s), r"\p{M}", ""), source, target)
-    return F.trim(F.regexp_replace(F.lower(bare), "[^a-z0-9]+", " "))
+    """Lower case without accents, compatibility forms as their letters (ligatures, full width, fractions), runs of anything but letters and digits as one space."""
+    source, target, several = _folding()
+    table = _map(several)
+    # Combining marks vanish; what has no plain letter becomes a space with the rest. ASCII needs none of this.
+    spelled = let_text(col(s), lambda t: F.when(t.rlike(_ranges(several)), F.array_join(F.transform(F.split(t, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")).otherwise(t))
+    plain = let_text(spelled, lambda t: F.when(t.rlike("[^\\x00-\\x7F]"), F.translate(F.regexp_replace(t, r"\p{M}", ""), source, target)).otherwise(t))
+    return F.trim(F.regexp_replace(F.lower(plain), "[^a-z0-9]+", " "))
+
+
+def _ranges(chars: dict[str, str], gap: int = 64) -> str:
+    """A short pattern for characters that may be among these: stretches of code points, with the gaps between near ones."""
+    out: list[list[str]] = []
+    for c in sorted(chars):
+        if out and ord(c) - ord(out[-1][1]) <= gap:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "[" + "".join(f"{a}-{b}" for a, b in out) + "]"
+
+
+def let_text(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _map(pairs: dict[str, str]) -> Column:
+    """A literal map: a constant that the optimiser parses once."""
+    return F.from_json(F.lit(json.dumps(pairs)), "map<string,string>")
 
 
 def tokens(s: Column | str, least: int = 3, stop: tuple[str, ...] = STOP_WORDS) -> Column:
     """Folded words of at least `least` characters that say something."""
-    words = F.array(*map(F.lit, stop))
-    return F.filter(F.split(fold(s), " "), lambda w: (F.length(w) >= least) & ~F.array_contains(words, w))
+    return F.filter(F.split(fold(s), " "), lambda w: (F.length(w) >= least) & ~w.isin(*stop))
+
+
+def exploded(df: DataFrame, s: str, *keep: str, distinct: bool = False, name: str = "token", least: int = 3, stop: tuple[str, ...] = STOP_WORDS) -> DataFrame:
+    """keep and a row for each of tokens(s), once for each text if distinct. Words are told apart as rows, in generated code; the outer explode keeps the folding from being computed once more for a filter."""
+    words = F.split(fold(s), " ")
+    rows = df.select(*keep, F.explode_outer(F.array_distinct(words) if distinct else words).alias(name))
+    return rows.where((F.length(name) >= least) & ~F.col(name).isin(*stop))
 
 
 @pandas_udf(DoubleType())
@@ -126,3 +161,15 @@ def pack_name(n: Column | str) -> Column:
 def digest(parts: Column, length: int = 12) -> Column:
     """The first hex digits of SHA-256 over an array's texts, told apart by NUL."""
     return F.substring(F.sha2(F.array_join(parts, "\0"), 256), 1, length)
+
+
+def next_clock(now: Column, clock: str) -> Column:
+    """The next moment behind now at which a clock shows hh:mm, on the same day or the day after."""
+    hours, minutes = (int(x) for x in clock.split(":"))
+    today = F.date_trunc("day", now) + F.make_dt_interval(F.lit(0), F.lit(hours), F.lit(minutes), F.lit(0))
+    return F.when(today > now, today).otherwise(today + F.make_dt_interval(F.lit(1)))
+
+
+def cache_name(*parts: Column, suffix: str = "") -> Column:
+    """A file name from what an artefact was made with; null parts are left out."""
+    return F.concat(F.concat_ws("_", *parts), F.lit(suffix))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .geo import col
@@ -122,3 +122,23 @@ def sinusoids(v: Column, bands: int) -> Column:
 def cosine_rate(step: Column, steps: int, top: float, low: float = 0.0) -> Column:
     """A rate that falls from top to low along half a cosine."""
     return low + (top - low) * 0.5 * (1 + F.cos(F.least(col(step) / steps, F.lit(1.0)) * math.pi))
+
+
+def crop_lefts(width: Column, size: int, crops: Column) -> Column:
+    """Where crops of a picture begin: the middle for one, else spread from edge to edge (halves go to the even pixel)."""
+    free = (width - size).cast("long")
+    spread = F.transform(F.sequence(F.lit(0), F.greatest(crops, F.lit(1)) - 1), lambda i: F.bround(i * free / F.greatest(crops - 1, F.lit(1)), 0).cast("long"))
+    return F.when(crops == 1, F.array(F.floor(free / 2))).otherwise(spread)
+
+
+def axial_tables(spark: SparkSession, actions: int, width: int) -> DataFrame:
+    """action, pair, c, s: rotations of a square grid of actions for vectors of this width; the first half of the pairs turns with the column, the
+    rest with the row, at wavelengths from 2 to twice the side in even ratios."""
+    side = math.isqrt(actions)
+    if side * side != actions or width % 4:
+        raise ValueError("the grid must be square and the width a multiple of 4")
+    pairs = width // 4
+    a = spark.range(actions).select(F.col("id").alias("action"), F.explode(F.sequence(F.lit(0), F.lit(2 * pairs - 1))).alias("pair"))
+    place = F.when(F.col("pair") < pairs, F.col("action") % side).otherwise(F.floor(F.col("action") / side))
+    angle = place * (math.pi / F.pow(F.lit(float(side)), F.col("pair") % pairs / float(max(1, pairs - 1))))
+    return a.select("action", "pair", F.cos(angle).alias("c"), F.sin(angle).alias("s"))

@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 
 def shared(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a fresh one only where none is set."""
+    """The cluster's shared checkpoint folder; a fresh one only in local mode, where none is set."""
     sc = spark.sparkContext._jsc.sc()
     if not sc.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="geoloom-"))
+        place = spark.conf.get("spark.checkpoint.dir", None)
+        if not place and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(place or tempfile.mkdtemp(prefix="geoloom-"))
     return sc.getCheckpointDir().get()
 
 

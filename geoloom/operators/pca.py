@@ -28,6 +28,8 @@ def fit(rows: DataFrame, k: int, vector: str = "embedding") -> tuple[np.ndarray,
     parts = rows.select(vectors.doubles(vector).alias("v")).where(F.col("v").isNotNull()).mapInArrow(sums, "part int, n long, v array<double>")
     # Sums are added up across tasks place by place, so the driver gets one row for each place.
     total = parts.select("n", F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).orderBy("i").collect()
+    if not total:
+        raise ValueError("no row has a vector, so there are no directions")
     n = total[0].n
     flat = np.array([r.x for r in total])
     d = int((np.sqrt(1 + 4 * len(flat)) - 1) / 2)

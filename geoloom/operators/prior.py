@@ -113,3 +113,58 @@ def siblings(targets: DataFrame, n: int, seed: int = 17) -> DataFrame:
     true = targets.where(F.col("step").between(0, 1)).select("row_id", (F.col("step") + 1).cast("int").alias("step"), F.col("action").alias("true"))
     a = number("a") % (geo.actions() - 1)
     return d.join(true, ["row_id", "step"]).select("row_id", "draw", "step", F.when(a >= F.col("true"), a + 1).otherwise(a).alias("action"))
+
+
+def dropped(neighbours: DataFrame, share: float, seed: int = 17, tau: float = TAU) -> DataFrame:
+    """neighbours with alpha when each is hidden with this chance, as training would: softmax over what is left, 0 for the rest.
+
+    A query that would lose all keeps one, drawn and not the best. Draws are md5 of (seed, query, row). A query's neighbours are few.
+    """
+    def draw(label: str) -> Column:
+        return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit(label), "query_id", "row_id")), 1, 8), 16, 10).cast("long") / float(1 << 32)
+
+    by = Window.partitionBy("query_id")
+    d = neighbours.withColumns({"__keep": draw("d") >= share, "__rescue": draw("r")})
+    lone = ~F.max("__keep").over(by) & (F.row_number().over(by.orderBy("__rescue", "row_id")) == 1)
+    d = d.withColumn("kept", F.col("__keep") | lone).withColumn("__s", F.when(F.col("kept"), F.col("sim") / max(tau, TAU_FLOOR)))
+    d = d.withColumn("__e", F.coalesce(F.exp(F.col("__s") - F.max("__s").over(by)), F.lit(0.0)))
+    return d.withColumn("alpha", F.col("__e") / F.sum("__e").over(by)).drop("__keep", "__rescue", "__s", "__e")
+
+
+def gated_bias(prior: DataFrame, gates: DataFrame, shifts: DataFrame | None = None, negative: DataFrame | None = None, eps: float = EPS) -> DataFrame:
+    """query_id, step, child, bias with gates of a step's own: cells by `cell`, the outside by `sink`; shifts (query_id, step, cell_shift, sink_shift) move
+    both for one query; a negative prior counts with the gate `neg`. A few rows for each step, so gates travel."""
+    out = prior.select("query_id", "step", "child", "mass")
+    if negative is not None:
+        out = out.join(negative.select("query_id", "step", "child", F.col("mass").alias("neg_mass")), ["query_id", "step", "child"], "full")
+    out = out.join(F.broadcast(gates), "step")
+    if shifts is not None:
+        out = out.join(shifts, ["query_id", "step"], "left")
+    cell, sink = (F.col(c) + (F.coalesce(f"{c}_shift", F.lit(0.0)) if shifts is not None else F.lit(0.0)) for c in ("cell", "sink"))
+    value = F.when(F.col("child") >= 0, cell).otherwise(sink) * F.log(F.coalesce("mass", F.lit(0.0)) + eps)
+    if negative is not None:
+        value -= F.col("neg") * F.log(F.coalesce("neg_mass", F.lit(0.0)) + eps)
+    return out.select("query_id", "step", "child", value.alias("bias"))
+
+
+def policy_logits(query: Column, keys: Column, width: int) -> Column:
+    """A query's scaled products with keys (an array of vectors of that width)."""
+    return F.transform(keys, lambda k: vectors.dot(query, k) / float(width) ** 0.5)
+
+
+def composed(policy: DataFrame, *priors: tuple[DataFrame, Column]) -> DataFrame:
+    """query_id, step, child, score: the policy's logit plus every prior's bias, in order; a child that a prior lacks gets its default. The one place where scores are put together."""
+    out = policy.select("query_id", "step", "child", F.col("logit").alias("score"))
+    for biases, missing in priors:
+        b = biases.select("query_id", "step", "child", "bias")
+        out = out.join(b, ["query_id", "step", "child"], "left").select("query_id", "step", "child", (F.col("score") + F.coalesce("bias", missing)).alias("score"))
+    return out
+
+
+def with_fallback(wanted: DataFrame, cached: DataFrame, keys: list[str], value: str, live: Column, width: int | None = None) -> DataFrame:
+    """wanted with value and live: from the cache where an entry is done (cached has done), else made on the spot. Both have the same width, if one is given."""
+    have = cached.where("done").select(*keys, F.col(value).alias("__cached"))
+    out = wanted.join(have, keys, "left").withColumn("live", F.col("__cached").isNull()).withColumn(value, F.coalesce("__cached", live)).drop("__cached")
+    if width is not None:
+        out = out.withColumn(value, F.when(F.size(value) == width, F.col(value)).otherwise(F.raise_error(F.lit(f"an entry is not {width} wide"))))
+    return out

@@ -60,8 +60,10 @@ class _Best:
 
 
 def _shaped(df: DataFrame, vector: str, group: str | None) -> DataFrame:
+    """row_id, v and g of the rows that have a vector: null, empty ones and those with null or not-a-number in them find nothing and are found by nothing."""
     g = F.col(group).cast("string") if group else F.lit(None).cast("string")
-    return df.select("row_id", vectors.doubles(vector).alias("v"), g.alias("g"))
+    usable = (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x))
+    return df.select("row_id", vectors.doubles(vector).alias("v"), g.alias("g")).where(F.col("v").isNotNull() & usable)
 
 
 def _groups(col: pa.Array, side: str) -> list:
@@ -73,17 +75,18 @@ def topk(queries: DataFrame, bank: DataFrame, k: int, vector: str = "embedding",
     """query_id, rank (from 1), row_id, sim: the k best rows of bank for each query, none of the query's own group.
 
     Both sides have row_id and the vector; exclude names a column of both. Null groups differ from every group but
-    another null, which they equal.
+    another null, which they equal. Rows without a vector, and those of another length than most queries', take no part.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
     side = "n"
     q, b = _shaped(queries, vector, exclude), _shaped(bank, vector, exclude)
     grouped = exclude is not None
-    first = q.select(F.size("v").alias("d")).first()
-    if first is None:
+    lengths = q.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
+    if not lengths:
         return q.select(F.col("row_id").alias("query_id"), F.lit(1).alias("rank"), "row_id", F.lit(0.0).alias("sim"))
-    n = q.count()
+    first, n = lengths[0], lengths[0].n
+    q, b = q.where(F.size("v") == first.d), b.where(F.size("v") == first.d)
 
     def merge(best: _Best, batches: Iterator[pa.RecordBatch]) -> None:
         for batch in batches:
@@ -163,18 +166,6 @@ def recall(found: DataFrame, exact: DataFrame, k: int) -> DataFrame:
     return j.agg(F.avg(F.col("got").isNotNull().cast("double")).alias("recall"), F.avg(first).alias("top1"))
 
 
-def set_similarity(q_tokens: DataFrame, b_tokens: DataFrame, exclude: str | None = None) -> DataFrame:
-    """query_id, row_id, chamfer (the mean over the query's tokens of the best bank token) and best (over all pairs of tokens).
-
-    Tokens have row_id, token and v. The candidates should come from a search: every pair of a query and a row given here is scored.
-    """
-    q = q_tokens.select(F.col("row_id").alias("query_id"), "token", F.col("v").alias("qv"), *([F.col(exclude).alias("qg")] if exclude else []))
-    b = b_tokens.select("row_id", F.col("v").alias("bv"), *([F.col(exclude).alias("bg")] if exclude else []))
-    on = ~F.col("qg").eqNullSafe(F.col("bg")) if exclude else F.lit(True)
-    best = q.join(b, on).groupBy("query_id", "row_id", "token").agg(F.max(vectors.dot(F.col("qv"), F.col("bv"))).alias("s"))
-    return best.groupBy("query_id", "row_id").agg(F.avg("s").alias("chamfer"), F.max("s").alias("best"))
-
-
 def merge_round_robin(found: DataFrame, photos: DataFrame, k: int, calibrate: bool = True) -> DataFrame:
     """group, slot (from 1), row_id, score: candidates of a group's photographs by rank and then photograph, each row once, the best k.
 

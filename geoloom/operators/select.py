@@ -113,3 +113,19 @@ def packs(ids: DataFrame, id_: str, size: int, start: int = 0) -> DataFrame:
     number = F.col(id_).try_cast("long")
     placed = running(ids, [number.isNull(), number, F.col(id_)], F.lit(1).cast("long"), "__n")
     return placed.withColumn("pack", (F.floor(F.col("__n") / size) + start).cast("int")).drop("__n")
+
+
+def frozen(ids: DataFrame, id_: str, n: int, path: str, seed: int = 17) -> DataFrame:
+    """A cohort of the n least hashes of (seed, id), written to path the first time and replayed from there ever after; ids that have gone since are refused."""
+    spark = ids.sparkSession
+    try:
+        have = spark.read.parquet(path)
+    except Exception as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        ids.select(id_).distinct().orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(id_).cast("string"))), id_).limit(n).write.parquet(path)
+        have = spark.read.parquet(path)
+    gone = have.join(ids.select(id_), id_, "left_anti").limit(1).collect()
+    if gone:
+        raise ValueError(f"the frozen cohort names {gone[0][0]}, which the table no longer holds")
+    return have

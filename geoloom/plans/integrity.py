@@ -150,7 +150,9 @@ def stream_topk(spark, sf_dir):
 
     run = stream(spark, sf_dir, "embeddings").writeStream.foreachBatch(merge).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    last = run.lastProgress["batchId"] if run.lastProgress else 0
+    last = max((p["batchId"] for p in run.recentProgress if p["numInputRows"]), default=None)
+    if last is None:  # nothing came
+        return q.select(F.col("row_id").alias("query_id"), "row_id", F.lit(0.0).alias("sim")).limit(0)
     return spark.read.parquet(f"{place}/{last}").select("query_id", "row_id", F.round("sim", 6).alias("sim"))
 
 

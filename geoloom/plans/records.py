@@ -19,13 +19,13 @@ words AS (SELECT doc_id, unnest(string_split(f, ' ')) AS w FROM folded), toks AS
 
 @query("text_tokens", f"WITH {TOKENS_SQL} SELECT doc_id, count(*) AS n, count(DISTINCT w) AS kinds, min(w) AS first, max(w) AS last FROM toks GROUP BY doc_id")
 def text_tokens(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(text.tokens("text")).alias("w"))
+    d = text.exploded(table(spark, sf_dir, "documents"), "text", "doc_id", name="w")
     return d.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("w").alias("kinds"), F.min("w").alias("first"), F.max("w").alias("last"))
 
 
 def idf(docs):
     """token, df, idf: ln(N / (1 + df)) + 1 over documents."""
-    t = docs.select("doc_id", F.explode(F.array_distinct(text.tokens("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    t = text.exploded(docs, "text", "doc_id", distinct=True).groupBy("token").agg(F.count("*").alias("df"))
     n = docs.agg(F.count("*").alias("n"))
     return t.crossJoin(F.broadcast(n)).select("token", "df", (F.log(F.col("n") / (1 + F.col("df"))) + 1).alias("idf"))
 
@@ -35,11 +35,15 @@ def text_idf(spark, sf_dir):
     return idf(table(spark, sf_dir, "documents")).withColumn("idf", F.round("idf", 6))
 
 
+#: Fixed value: how alike two words have to be.
+LEAST_RATIO = 0.82
+
+
 @query("fuzzy_match")
 def fuzzy_match(spark, sf_dir):
     """How well each turn of a conversation echoes the turn before: the IDF-weighted sum of its tokens' best fuzzy ratios of 0.82 or more.
 
-    Equal tokens have ratio 1 by an equi join; only the others are compared as pairs, and only where lengths differ by 4 at most.
+    Equal tokens have ratio 1 by an equi join; only the others are compared as pairs, and aligned only where their edit distance leaves that ratio open.
     """
     c = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("doc_id"), "conv_id", "turn", "text")
     weights = idf(c.select("doc_id", "text")).select("token", "idf")
@@ -47,11 +51,11 @@ def fuzzy_match(spark, sf_dir):
     prev = t.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("mine").alias("theirs"))
     p = t.join(prev, ["conv_id", "turn"]).select("conv_id", "turn", F.explode("mine").alias("token"), "theirs")
     exact = p.where(F.array_contains("theirs", F.col("token"))).select("conv_id", "turn", "token", F.lit(1.0).alias("ratio"))
-    rest = p.where(~F.array_contains("theirs", F.col("token"))).select("conv_id", "turn", "token", F.explode("theirs").alias("other")).where(F.abs(F.length("token") - F.length("other")) <= 4)
-    # Twice the letters two words share at most, whatever their order, over both lengths bounds the ratio; only pairs it leaves open are aligned.
-    letters = F.size(F.array_intersect(F.split("token", ""), F.split("other", "")))
-    rest = rest.where((letters > 0) & (F.levenshtein("token", "other") <= F.greatest(F.length("token"), F.length("other")) * 0.6))
-    near = rest.withColumn("ratio", text.fuzzy_ratio("token", "other")).groupBy("conv_id", "turn", "token").agg(F.max("ratio").alias("ratio")).where("ratio >= 0.82")
+    rest = p.where(~F.array_contains("theirs", F.col("token"))).select("conv_id", "turn", "token", F.explode("theirs").alias("other"))
+    # Matched letters stay, and at most all others are taken out or put in, so 2 matched <= both lengths - edits, which bounds the ratio.
+    sizes = F.length("token") + F.length("other")
+    rest = rest.where(sizes - F.levenshtein("token", "other") >= LEAST_RATIO * sizes)
+    near = rest.withColumn("ratio", text.fuzzy_ratio("token", "other")).groupBy("conv_id", "turn", "token").agg(F.max("ratio").alias("ratio")).where(F.col("ratio") >= LEAST_RATIO)
     return exact.unionByName(near).join(weights, "token").groupBy("conv_id", "turn").agg(F.round(F.sum(F.col("idf") * F.col("ratio")), 6).alias("score"), F.count("*").alias("matched"))
 
 
@@ -142,7 +146,7 @@ def dedup_last(spark, sf_dir):
 def lru_evict(spark, sf_dir):
     """A cache of pages over its cap (60 % of their sizes): the longest unused go down to 90 % of the cap."""
     e = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.char_length("html").cast("long").alias("bytes"), ((F.col("page_id") * 7919) % 10007).alias("used"))
-    cap = 0.6 * e.agg(F.sum("bytes")).first()[0]
+    cap = 0.6 * (e.agg(F.sum("bytes")).first()[0] or 0)
     return select.evict(e, "used", "bytes", cap).select("id", "bytes", "evicted")
 
 

@@ -211,36 +211,50 @@ def gate_pick(spark, sf_dir):
 @query("block_similarity", f"""WITH {CACHE_SQL}, p AS (SELECT a.label AS a, b.label AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM cache a JOIN cache b ON a.row_id % 7 = 0 AND b.row_id % 7 = 0 AND a.row_id < b.row_id)
 SELECT a, b, count(*) AS n, round(avg(s), 6) AS mean, round(max(s), 6) AS most FROM p GROUP BY ALL""".replace("a.row_id % 7 = 0 AND b.row_id % 7 = 0 AND ", ""))
 def block_similarity(spark, sf_dir):
-    """Similarity between all rows of two labels, summed up: mean cosines come from sums of vectors, and only the largest needs pairs, which stay in numpy."""
+    """Similarity between all rows of two labels, summed up; pairs stay in numpy."""
     c = cache(spark, sf_dir).select("row_id", "label", vectors.normalise(vectors.doubles("embedding")).alias("v"))
     return _blocks(c)
 
 
+#: Rows of a block, two of which one task scores.
+BLOCK = 2048
+
+
 def _blocks(c):
+    """Every pair of rows is scored, by pairs of blocks of bounded size whatever the labels; sums and maxima for pairs of labels leave a task."""
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    labels = sorted(r.label for r in c.select("label").distinct().collect())
-    pairs = c.withColumn("other", F.explode(F.array(*map(F.lit, labels))))
-    a = pairs.select(F.col("label").alias("a"), F.col("other").alias("b"), "row_id", "v")
+    n_blocks = max(1, -(-c.count() // BLOCK))
+    placed = c.withColumn("own", F.pmod(F.xxhash64("row_id"), F.lit(n_blocks)))
+    others = F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))
+    a = placed.withColumn("other", F.explode(F.filter(others, lambda o: o >= F.col("own")))).select(F.col("own").alias("i"), F.col("other").alias("j"), "row_id", "label", "v")
     # Under names of their own: both sides of a cogroup must not share a column.
-    b = pairs.select(F.col("other").alias("a"), F.col("label").alias("b"), F.col("row_id").alias("row_b"), F.col("v").alias("w"))
+    b = placed.withColumn("other", F.explode(F.filter(others, lambda o: o <= F.col("own")))).select(F.col("other").alias("i"), F.col("own").alias("j"), F.col("row_id").alias("row_b"), F.col("label").alias("label_b"), F.col("v").alias("w"))
+    kind = pa.schema([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64()), ("total", pa.float64()), ("most", pa.float64())])
 
     def score(key, x, y):
+        if not x.num_rows or not y.num_rows:
+            return pa.Table.from_pylist([], schema=kind)
         mx, my = (pc.list_flatten(t.column(n).combine_chunks()).to_numpy().reshape(t.num_rows, -1) for t, n in ((x, "v"), (y, "w")))
-        ix, iy = x.column("row_id").to_numpy(), y.column("row_b").to_numpy()
-        n, total, most = 0, 0.0, -np.inf
-        for at in range(0, len(ix), 1024):
-            s = mx[at : at + 1024] @ my.T
-            s = s[ix[at : at + 1024, None] < iy[None, :]]
-            if len(s):
-                n, total, most = n + len(s), total + float(s.sum()), max(most, float(s.max()))
-        rows = [{"a": key[0].as_py(), "b": key[1].as_py(), "n": n, "mean": total / n, "most": most}] if n else []
-        return pa.Table.from_pylist(rows, schema=pa.schema([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64()), ("mean", pa.float64()), ("most", pa.float64())]))
-
-    out = a.groupBy("a", "b").cogroup(b.groupBy("a", "b")).applyInArrow(score, "a int, b int, n long, mean double, most double")
-    return out.select("a", "b", "n", F.round("mean", 6).alias("mean"), F.round("most", 6).alias("most"))
+        (ix, lx), (iy, ly) = ((t.column(i).to_numpy(), t.column(l).to_numpy()) for t, i, l in ((x, "row_id", "label"), (y, "row_b", "label_b")))
+        s = mx @ my.T
+        same = key[0].as_py() == key[1].as_py()
+        rows = []
+        for p in np.unique(lx).tolist():
+            for q in np.unique(ly).tolist():
+                r, k = np.flatnonzero(lx == p), np.flatnonzero(ly == q)
+                part, first = s[np.ix_(r, k)], ix[r][:, None] < iy[k][None, :]
+                # A block with itself has each pair both ways.
+                for u, v, mask in ((p, q, first),) if same else ((p, q, first), (q, p, ~first)):
+                    if mask.any():
+                        rows.append({"a": u, "b": v, "n": int(mask.sum()), "total": float(part[mask].sum()), "most": float(part[mask].max())})
+        return pa.Table.from_pylist(rows, schema=kind)
+
+    out = a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInArrow(score, "a int, b int, n long, total double, most double")
+    out = out.groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("most").alias("most"))
+    return out.select("a", "b", "n", F.round(F.col("total") / F.col("n"), 6).alias("mean"), F.round("most", 6).alias("most"))
 
 
 @query("leak_rates", f"""WITH {KNN_SQL}, all_pairs AS (SELECT q.row_id AS query_id, b.row_id, q.seq = b.seq AS same, CAST(row_number() OVER (PARTITION BY q.row_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.row_id) AS INT) AS rank FROM cache q JOIN cache b ON q.side = 'query' AND b.side = 'bank'),

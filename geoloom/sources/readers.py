@@ -17,6 +17,19 @@ from pyspark.sql.types import StructType
 from ..functions import text
 
 
+def write(df: DataFrame, path: str, by: list[str] | None = None, mode: str = "errorifexists") -> None:
+    """Parquet under path, in folders by columns if any; either all of it is there afterwards or, as files are moved in on commit only, none."""
+    out = df.write.mode(mode)
+    (out.partitionBy(*by) if by else out).parquet(path)
+
+
+def write_sidecar(df: DataFrame, path: str, key: str, **facts: str) -> None:
+    """One JSON file under path that says which rows a table has: their number, a digest of their keys by blocks, and what else is given."""
+    blocks = stamped(df, key)
+    one = blocks.agg(F.sum("rows").alias("rows"), text.digest(F.transform(F.sort_array(F.collect_list(F.struct("block", "digest"))), lambda b: b["digest"])).alias("rows_digest"))
+    one.select("rows", "rows_digest", *(F.lit(v).alias(k) for k, v in facts.items())).coalesce(1).write.mode("errorifexists").json(path)
+
+
 def csv(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
     """A CSV file with a header; give the schema where it is known, as inference reads the file once more."""
     reader = spark.read.option("header", True)
@@ -28,24 +41,25 @@ def places(spark: SparkSession, path: str, wanted: DataFrame, schema: str = "id
     return csv(spark, path, schema).where("latitude is not null and longitude is not null").join(wanted.select("id").distinct(), "id")
 
 
-def parquet(spark: SparkSession, *paths: str, columns: list[str] | None = None) -> DataFrame:
-    """Parquet files or globs, united by column name, only the columns asked for."""
-    df = spark.read.option("mergeSchema", True).parquet(*paths)
+def parquet(spark: SparkSession, *paths: str, columns: list[str] | None = None, merge: bool = True) -> DataFrame:
+    """Parquet files or globs, united by column name, only the columns asked for. Without merge, which reads every footer, the files have one schema."""
+    df = spark.read.option("mergeSchema", merge).parquet(*paths)
     return df.select(*columns) if columns else df
 
 
 def json_lines(spark: SparkSession, path: str, key: str = "id", keep: str = "last", schema: str | None = None) -> DataFrame:
     """One JSON object a line; lines that don't parse go; of lines with the same key the last (or first) counts.
 
-    Order is the place of a line in its file, and files go by name; both come from the reader, not from the data.
+    Order is that of a line in its file, and files go by name. Files are split like any text; Spark's row number
+    within a task and the start of the task's stretch of the file, both from the reader, say where a line stands.
     """
-    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value")).where(F.length(F.trim("value")) > 0)
+    place = [F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]
+    raw = spark.read.text(path).select("value", F.struct(*(c.alias(n) for c, n in zip(place, ("file", "start", "line"), strict=True))).alias("place")).where(F.length(F.trim("value")) > 0)
     if schema is None:
         schema = spark.read.json(path).drop("_corrupt_record").schema
     rows = raw.withColumn("r", F.from_json("value", schema)).where(F.col("r").isNotNull() & F.col(f"r.{key}").isNotNull())
-    order = F.struct("file", "line")
-    pick = F.max_by if keep == "last" else F.min_by
-    return rows.groupBy(F.col(f"r.{key}").alias("__key")).agg(pick("r", order).alias("r")).select("r.*")
+    pick_ = F.max_by if keep == "last" else F.min_by
+    return rows.groupBy(F.col(f"r.{key}").alias("__key")).agg(pick_("r", "place").alias("r")).select("r.*")
 
 
 def sidecar(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -55,8 +69,8 @@ def sidecar(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return raw.withColumn("p", parsed).select("file", F.when(F.col("p._bad").isNull(), F.col("p").dropFields("_bad")).alias("content"))
 
 
-def archive(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
-    """archive, name, content of zip members, all or those named; an archive is opened by one task and its members stream out one by one."""
+def unzip(archives: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """archive, name, content of the zip members of archives (path, content), all or those named; an archive is opened by one task and its members stream out one by one."""
     wanted = set(names) if names is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,13 +81,23 @@ def archive(spark: SparkSession, path: str, names: list[str] | None = None) -> D
                         if not info.is_dir() and (wanted is None or info.filename in wanted):
                             yield pa.RecordBatch.from_pydict({"archive": [place], "name": [info.filename], "content": [z.read(info)]})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "archive string, name string, content binary")
+    return archives.select("path", "content").mapInArrow(run, "archive string, name string, content binary")
+
+
+def archive(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
+    """unzip() of all archives under a path; each is one binary cell, so at most 2 GB."""
+    return unzip(spark.read.format("binaryFile").load(path), names)
+
+
+def pick(found: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (name, pos) with content from the first archive that has the member; null where none has."""
+    one = found.groupBy("name").agg(F.min_by("content", "archive").alias("content"))
+    return wanted.join(one, "name", "left")
 
 
 def members(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
     """wanted (name, pos) with content, in an order given by pos; content is null for a member no archive has."""
-    found = archive(spark, path).groupBy("name").agg(F.min_by("content", "archive").alias("content"))
-    return wanted.join(found, "name", "left")
+    return pick(archive(spark, path), wanted)
 
 
 def missing(wanted: DataFrame) -> DataFrame:
