@@ -5,7 +5,8 @@ dictionary); the fingerprint is the K least 32-bit hashes of the phrase set, so
 two fingerprints estimate the phrase sets' Jaccard likeness, as a compressor would see it.
 
 follow() also compares each document with an edited text that ends in the start of the next
-document. Documents are dealt out once, by stretches of ids; the first document of a stretch
+document. Documents are dealt out once, by stretches of their order, whose bounds are quantiles of a bounded sample of names, so ids may lie
+as they like and one id may have many rows; the first document of a stretch
 goes to the stretch before it as well, so every successor is at hand without a second shuffle.
 An empty or null text has the empty fingerprint; two empty fingerprints have likeness 1, an
 empty and another 0. Rows with equal ids follow each other by text hash.
@@ -18,16 +19,18 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import NULL_ID, bucket_count, documents, sliced
+from .base import bucket_count, documents, sliced
 
 K = 64
-#: Stretches of ids are made of so many equal bins at most.
-BINS = 1 << 14
+#: Stretches of the order of documents at most, and names of documents (a sample by hash) that their bounds are taken from, or twice that.
+BINS = 1 << 12
+SAMPLE = 1 << 15
 
 
 class Parse:
@@ -93,41 +96,43 @@ def sketches(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     return src.mapInArrow(run, "doc_id long, fingerprint string")
 
 
-def stretches(d: DataFrame, wanted: int) -> tuple[DataFrame, dict[int, int]]:
-    """d with its stretch number, and the first key of each stretch. The driver sees BINS rows at most."""
-    lo, hi = d.agg(F.min(F.when(F.col("key") != NULL_ID, F.col("key"))), F.max("key")).first()
-    lo, hi = (0, 0) if lo is None else (lo, hi)
-    width = max(1.0, (float(hi) - float(lo)) / (BINS - 2))
-    bin_ = F.when(F.col("key") == NULL_ID, F.lit(0)).otherwise(F.least(F.lit(BINS - 1), (F.floor((F.col("key").cast("double") - F.lit(float(lo))) / F.lit(width)) + 1).cast("int")))
-    seen = d.select("key", bin_.alias("b")).groupBy("b").agg(F.count("*").alias("n"), F.min("key").alias("first")).collect()
-    seen.sort(key=lambda r: r.b)
-    total, sum_, part_of, heads = sum(r.n for r in seen), 0, [0] * BINS, {}
-    part, at = -1, 0
-    for r in seen:
-        if part < 0 or sum_ * wanted >= total * (part + 1):
-            part += 1
-            heads[part] = r.first
-        sum_ += r.n
-        while at <= r.b:
-            part_of[at] = part
-            at += 1
-    table = F.lit(np.array(part_of, np.int32))
-    return d.withColumn("part", F.element_at(table, bin_ + 1)), heads
+def stretches(d: DataFrame, wanted: int) -> tuple[DataFrame, list[tuple[int, int, int]]]:
+    """d with its stretch of the order by (key, h), and (stretch, key, h) of each one's first row. The driver sees SAMPLE names and a row for each stretch at most."""
+    rows = d.count()
+    every = max(1, -(-rows // SAMPLE))
+    taken = d.select("key", "h").where(F.pmod(F.xxhash64("h", "key"), F.lit(every)) == 0).distinct().orderBy(F.xxhash64("key", "h")).limit(2 * SAMPLE).collect()
+    names = sorted((r.key, r.h) for r in taken)
+    bounds = sorted({names[k * len(names) // wanted] for k in range(1, wanted)}) if names else []
+    keys, hashes = (np.array([b[i] for b in bounds], np.int64) for i in (0, 1))
+
+    @F.pandas_udf("int")
+    def place(key: pd.Series, h: pd.Series) -> pd.Series:
+        """How many bounds aren't behind (key, h): only these two columns travel."""
+        k, t = key.to_numpy(), h.to_numpy()
+        at, behind = np.searchsorted(keys, k, "left"), np.searchsorted(keys, k, "right")
+        for i in np.flatnonzero(behind > at):  # bounds inside one id
+            at[i] += np.searchsorted(hashes[at[i] : behind[i]], t[i], "right")
+        return pd.Series(at.astype(np.int32))
+
+    placed = d.withColumn("part", place("key", "h") if bounds else F.lit(0))
+    heads = placed.groupBy("part").agg(F.min(F.struct("key", "h")).alias("m")).select("part", "m.key", "m.h").collect()
+    return placed, sorted((r.part, r.key, r.h) for r in heads)
 
 
 def follow(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """For each document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     d = documents(docs, text, doc_id)
-    wanted = min(BINS // 4, 8 * bucket_count(docs, 64 << 20))
+    wanted = min(BINS, 8 * bucket_count(docs, 64 << 20))
     d, heads = stretches(d, wanted)
-    last = max(heads, default=0)
-    # Where the first document of each stretch goes a second time: behind the end of the stretch before.
-    first_keys = [int(k) for k in heads.values()] or [0]
-    before = F.when(F.col("part") == 0, F.lit(last)).otherwise(F.col("part") - 1)
+    # Where the first document of each stretch goes a second time: behind the end of the stretch before (the first one's, behind the last).
+    parts = [p for p, _, _ in heads] or [0]
+    before = dict(zip(parts, [parts[-1], *parts[:-1]], strict=True))
+    again = d.sparkSession.createDataFrame([(key, h, before[p]) for p, key, h in heads], "key long, h long, there int")
     here = F.struct(F.col("part").alias("at"), F.lit(0).alias("tail"))
-    there = F.struct(before.alias("at"), F.lit(1).alias("tail"))
+    there = F.struct(F.col("there").alias("at"), F.lit(1).alias("tail"))
     dealt = (
-        d.withColumn("to", F.explode(F.when(F.col("key").isin(first_keys), F.array(here, there)).otherwise(F.array(here))))
+        d.join(F.broadcast(again), ["key", "h"], "left")  # a row for each stretch, of which there are BINS at most
+        .withColumn("to", F.explode(F.when(F.col("there").isNotNull(), F.array(here, there)).otherwise(F.array(here))))
         .select(F.col("to.at").alias("at"), F.col("to.tail").alias("tail"), "key", "h", "doc_id", "text")
         .repartition(F.col("at"))
         .sortWithinPartitions("at", "tail", "key", "h")
