@@ -5,8 +5,9 @@ whatever the corpus:
 
 1. Large lengths, in descending order, are cut into groups of equal cardinality and rounded
    up to their group's longest (linear grouping).
-2. Configurations of the few rounded sizes are chosen one after another: each holds the largest
-   size left and fills the sequence as full as the sizes left allow, and is used as often as they last.
+2. Configurations of the rounded sizes: with few sizes, those of the linear programme of least sequences, by column
+   generation, rounded down; what that leaves over, and with more sizes everything, by configurations chosen one after another, each of which holds the largest
+   size left and fills the sequence as full as the sizes left allow. The plan with fewer sequences counts.
 3. Actual pieces take the places of the rounded ones, which leaves stretches of sequences with equal
    room; small lengths, the longest first, go where they leave least room.
 
@@ -41,8 +42,11 @@ SEPARATOR[[32, 10, 9]] = True
 #: A letter run and ASCII marks behind it. The tokenizer cuts between the two, and lower-cases either
 #: letter by letter, so their ids are those of the lower-cased run and of the marks on end. No apostrophes: it has rules of their own.
 PARTS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
-#: Groups of the linear grouping.
+#: Groups of the linear grouping: for configurations chosen one after another, and for those of the linear programme.
 GROUPS = 512
+FEW = 32
+#: How much more than a sequence the worthiest configuration may be worth when the programme stops: its packing is within this share of the least.
+TOLERANCE = 5e-4
 
 
 class Words:
@@ -263,8 +267,72 @@ def fullest(sizes: list[int], left: list[int], capacity: int) -> list[int]:
     return use
 
 
-def plan(histogram: dict[int, int], capacity: int, n_groups: int = GROUPS) -> Plan:
-    """Where pieces of each length go. Work and result depend on capacity and n_groups, not on how many pieces there are."""
+def worthiest(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The most worth that fits a sequence, each size as often as it likes, and how many of each that takes."""
+    best = np.zeros(capacity + 1)
+    last = np.full(capacity + 1, -1)
+    least = int(sizes.min())
+    order = np.argsort(sizes)
+    ordered, value = sizes[order], worth[order]
+    for c in range(least, capacity + 1):
+        n = int(np.searchsorted(ordered, c, side="right"))
+        got = best[c - ordered[:n]] + value[:n]
+        k = int(got.argmax())
+        if got[k] > best[c - 1] + 1e-12:
+            best[c], last[c] = got[k], order[k]
+        else:
+            best[c] = best[c - 1]
+    use = np.zeros(len(sizes), np.int64)
+    c = capacity
+    while c >= least:
+        if last[c] < 0:
+            c -= 1
+            continue
+        use[last[c]] += 1
+        c -= int(sizes[last[c]])
+    return float(best[capacity]), use
+
+
+def optimal_configurations(sizes: list[int], counts: list[int], capacity: int, rounds: int = 600) -> list[tuple[np.ndarray, int]]:
+    """Configurations and how often each is used, rounded down: the linear programme of least sequences over all configurations, by column generation.
+
+    Each round asks the dual prices for the worthiest configuration and exchanges it for one of the basis. Any basis is a packing, so stopping
+    after `rounds` is safe.
+    """
+    if not sizes:
+        return []
+    size, need = np.array(sizes), np.array(counts, float)
+    basis = np.diag((capacity // size).astype(float))  # a configuration in each column
+    amount = need / np.diag(basis)
+    for _ in range(rounds):
+        prices = np.linalg.solve(basis.T, np.ones(len(size)))
+        value, use = worthiest(size, prices, capacity)
+        if value <= 1 + TOLERANCE:
+            break
+        change = np.linalg.solve(basis, use.astype(float))
+        gives = np.where(change > 1e-9, amount / np.where(change > 1e-9, change, 1), np.inf)
+        out = int(gives.argmin())
+        amount = np.maximum(amount - gives[out] * change, 0)
+        amount[out] = gives[out]
+        basis[:, out] = use
+    left = np.array(counts)
+    chosen = []
+    for j in np.argsort(-amount):
+        use = np.rint(basis[:, j]).astype(np.int64)
+        times = min(int(amount[j] + 1e-6), int((left[use > 0] // use[use > 0]).min()))
+        if times:
+            chosen.append((use, times))
+            left -= use * times
+    return chosen
+
+
+def plan(histogram: dict[int, int], capacity: int, n_groups: int = GROUPS, few: int = FEW) -> Plan:
+    """Where pieces of each length go: the better of two plans, one of few rounded sizes whose configurations a linear programme chooses, one of more
+    sizes whose configurations are chosen one after another. Work and result depend on capacity and the groups, not on how many pieces there are."""
+    return min((_plan(histogram, capacity, min(few, n_groups), True), _plan(histogram, capacity, n_groups, False)), key=lambda p: p.sequences)
+
+
+def _plan(histogram: dict[int, int], capacity: int, n_groups: int, optimise: bool) -> Plan:
     out = Plan(capacity, dict(histogram))
     if capacity in histogram:
         out.put(capacity, histogram[capacity], 0, 0)
@@ -285,9 +353,9 @@ def plan(histogram: dict[int, int], capacity: int, n_groups: int = GROUPS) -> Pl
             merged.append(s)
             queues.append(list(g))
             counts.append(n)
-    while any(counts):
-        use = fullest(merged, counts, capacity)
-        times = min(counts[i] // u for i, u in enumerate(use) if u)
+
+    def use_up(use: list[int], times: int) -> None:
+        """Actual pieces in the places of `times` sequences of a configuration."""
         slots = [i for i, u in enumerate(use) for _ in range(u)]
         for i, u in enumerate(use):
             counts[i] -= u * times
@@ -304,6 +372,13 @@ def plan(histogram: dict[int, int], capacity: int, n_groups: int = GROUPS) -> Pl
             out.leave(capacity - offset, out.sequences, stretch)
             out.sequences += stretch
             times -= stretch
+
+    if optimise:
+        for use, times in optimal_configurations(merged, counts, capacity):
+            use_up(use.tolist(), times)
+    while any(counts):
+        use = fullest(merged, counts, capacity)
+        use_up(use, min(counts[i] // u for i, u in enumerate(use) if u))
     for length in sorted((v for v, n in out.left.items() if n), reverse=True):
         _best_fit(out, length)
     return out
