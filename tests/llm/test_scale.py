@@ -88,3 +88,20 @@ def test_crowded_lists_are_split(spark, block, monkeypatch):
     copies = [got[int(i)] for i, v in zip(vid, m, strict=True) if (v == m[0]).all()]
     assert len(copies) == 41 and len({(x.n_links, x.component_id) for x in copies}) == 1 and copies[0].n_links >= 40
     assert pivots.near(d.where(F.col("vec_id") < 0)).count() == 0
+
+
+def test_configurations_are_near_the_programmes_bound():
+    from geoloom.llm import packing
+
+    # Three of 700 fit, two of 1000, and one of each leaves room for neither: 30 + 40 pieces need 10 + 20 sequences.
+    chosen = packing.optimal_configurations([1000, 680], [40, 30], 2048)
+    assert sum(t for _, t in chosen) == 30 and all(u @ [1000, 680] <= 2048 for u, _ in chosen)
+    assert packing.optimal_configurations([], [], 2048) == []
+    rng = random.Random(8)
+    sizes = sorted((rng.randint(300, 2000) for _ in range(20)), reverse=True)
+    counts = [rng.randint(50, 400) for _ in sizes]
+    chosen = packing.optimal_configurations(sizes, counts, 2048)
+    used = sum(u * t for u, t in chosen)
+    assert (used <= counts).all() and all(u @ sizes <= 2048 for u, _ in chosen) and (np.array(counts) - used).sum() < 60
+    value, use = packing.worthiest(np.array([5, 3]), np.array([0.6, 0.3]), 11)
+    assert value == pytest.approx(1.2) and use.tolist() == [2, 0]
