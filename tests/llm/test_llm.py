@@ -535,10 +535,11 @@ def test_queries_run_whole_tables(spark, sf_dir):
         assert out.count() >= (n if "op1_" not in name else 500), name
 
 
-def test_line_query_equals_sql(spark, sf_dir, duck):
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_sql(spark, sf_dir, duck, name):
     from compare import same
 
-    same(queries.op8_line_runs(spark, sf_dir), duck.sql(queries.oracle_sql()["op8_line_runs"]))
+    same(queries.queries()[name](spark, sf_dir), duck.sql(queries.oracle_sql()[name]))
 
 
 def test_pipeline_stages(spark, sf_dir, tmp_path):
