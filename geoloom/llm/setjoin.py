@@ -16,7 +16,9 @@ documents link when 100 * |both| >= percent * |either|.
    needs no search of its own, so a large group of copies costs about one search for each document outside it.
 3. Verified links are joined up to components.
 
-Copies of a set are combined before the first shuffle. A block over BLOCK shingles is dealt out as pairs of its sub-blocks.
+Copies of a set are combined before the first shuffle. A block over BLOCK shingles is searched in sub-blocks dealt by chance, twice, which joins
+a large group of near copies up; then the sets outside the block's largest group, and only those, are looked for in all of the block. So texts
+travel in proportion to the block, unless much of it lies outside that group: chunks of the rest meet all sub-blocks, which grows with the product of the two.
 
 What is equal: the search compares shingles by their words, so no link is found that isn't one. Up to there shingles go by 64-bit
 hashes, equal ones always alike, so no link is lost either; n_shingles counts distinct SipHash values (two different shingles of one text
@@ -33,7 +35,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import bucket_count, cut, documents, fresh, names_of, release, sliced, text_bytes
@@ -338,11 +340,12 @@ class Index:
         return candidates[100 * both >= percent * (self.sizes[q] + self.sizes[candidates] - both)]
 
 
-def forest(hashes: np.ndarray, first: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that join every linked pair of a block's sets up."""
+def forest(hashes: np.ndarray, first: np.ndarray, percent: int, known: np.ndarray, asks: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join every linked pair up of which one asks, beyond sets with one known number, which are joined up already. If all ask, those of the first set's group needn't."""
     n = len(first) - 1
     index = Index(hashes, first)
-    root = list(range(n))
+    root = [int(x) for x in np.unique(known, return_index=True)[1][np.unique(known, return_inverse=True)[1]]]
+    skip = bool(asks.all())
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -351,9 +354,9 @@ def forest(hashes: np.ndarray, first: np.ndarray, percent: int) -> list[tuple[in
         return x
 
     links = []
-    for q in range(n):
+    for q in np.flatnonzero(asks).tolist():
         # Of two linked documents in the main component none has to find the other; any other pair is found by one of them.
-        if q and find(q) == find(0):
+        if skip and q and find(q) == find(0):
             continue
         for y in index.search(q, percent).tolist():
             a, b = find(q), find(y)
@@ -528,34 +531,67 @@ def similar(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text
     members = filled.select("node", *sums).join(blocks, "node")
     chosen = members.groupBy("component", *sums).agg(F.count("*").alias("rows")).join(sets, sums).select("component", "n_shingles", "of")
     weight = chosen.groupBy("component").agg(F.sum("n_shingles").alias("weight"), F.count("*").alias("sets")).where("sets > 1")
-    picked = chosen.join(weight, "component").select("of.key", "of.h", "of.ident", "component", F.ceil(F.col("weight") / F.lit(BLOCK)).cast("int").alias("subs"))
-    mine = F.pmod(F.xxhash64("key", "h"), F.col("subs")).cast("int")
-    pairs = F.when(F.col("subs") == 1, F.array(F.lit("0"))).otherwise(
-        F.expr("transform(filter(sequence(0, subs - 1), s -> s != sub), s -> concat(least(s, sub), '-', greatest(s, sub)))")
-    )
-    dealt = picked.withColumn("sub", mine).withColumn("pair", F.explode(pairs)).select("key", "h", "ident", "component", "pair")
-    # Equal rows hold the text more than once; one of them is enough.
-    held = d.select("key", "h", "text").join(dealt.select("key", "h").distinct(), ["key", "h"], "left_semi").dropDuplicates(["key", "h"])
-    placed = held.join(dealt, ["key", "h"]).select("ident.id", "ident.row", "component", "pair", "text", F.pmod(F.xxhash64("component", "pair"), F.lit(n_buckets)).cast("int").alias("to"))
+    picked = chosen.join(weight, "component").select("of.key", "of.h", "of.ident.id", "of.ident.row", "component", "n_shingles", F.ceil(F.col("weight") / F.lit(BLOCK)).cast("int").alias("subs"))
+    picked = cut(picked)
 
     def search(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("component", "ascending"), ("pair", "ascending"), ("id", "ascending"), ("row", "ascending")]).combine_chunks()
+        rows = rows.sort_by([("component", "ascending"), ("part", "ascending"), ("id", "ascending"), ("row", "ascending")]).combine_chunks()
         a_, b_ = [], []
         if rows.num_rows:
-            group = pa.compute.rank(pa.compute.binary_join_element_wise(rows.column("component").cast(pa.string()), rows.column("pair"), "|"), tiebreaker="dense").to_numpy()
+            group = pa.compute.rank(pa.compute.binary_join_element_wise(rows.column("component").cast(pa.string()), rows.column("part"), "|"), tiebreaker="dense").to_numpy()
+            known, asks = rows.column("known").to_numpy(), rows.column("asks").to_numpy()
             cuts = runs_of([group])
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 if b - a > 1:
                     texts = [t.encode() for t in rows.column("text").slice(a, b - a).to_pylist()]
-                    for x, y in forest(*exact_sets(texts, size), percent):
+                    for x, y in forest(*exact_sets(texts, size), percent, known[a:b], asks[a:b]):
                         a_.append(a + x)
                         b_.append(a + y)
         release()
         one, other = rows.take(pa.array(a_, pa.int64())), rows.take(pa.array(b_, pa.int64()))
         return pa.table({"a_id": one.column("id"), "a_row": one.column("row"), "b_id": other.column("id"), "b_row": other.column("row")})
 
-    verified = placed.groupBy("to").applyInArrow(search, "a_id long, a_row long, b_id long, b_row long")
-    links = verified.select(*(F.struct(F.col(f"{x}_id").alias("id"), F.col(f"{x}_row").alias("row")).alias(x) for x in "ab"))
+    def texts_of(sets: DataFrame) -> DataFrame:
+        # Equal rows hold the text more than once; one of them is enough.
+        held = d.select("key", "h", "text").join(sets.select("key", "h").distinct(), ["key", "h"], "left_semi").dropDuplicates(["key", "h"])
+        return held.join(sets, ["key", "h"])
+
+    def searched(dealt: DataFrame) -> DataFrame:
+        """Links within each (component, part) of dealt, of which asks says what is looked for and known what is joined up already."""
+        to = F.pmod(F.xxhash64("component", "part"), F.lit(n_buckets)).cast("int").alias("to")
+        verified = dealt.select("id", "row", "component", "part", "known", "asks", "text", to).groupBy("to").applyInArrow(search, "a_id long, a_row long, b_id long, b_row long")
+        return verified.select(*(F.struct(F.col(f"{x}_id").alias("id"), F.col(f"{x}_row").alias("row")).alias(x) for x in "ab"))
+
+    def dealt_by(salt: int, n: str) -> Column:
+        return F.pmod(F.xxhash64("row", F.lit(salt)), F.col(n)).cast("int")
+
+    def grouped(sets: DataFrame, links: DataFrame) -> DataFrame:
+        """sets with known: the least row that links join each to."""
+        groups = components(links).select(F.col("node.row").alias("row"), F.col("component.row").alias("known"))
+        return sets.join(groups, "row", "left").withColumn("known", F.coalesce("known", "row"))
+
+    def large(held: DataFrame) -> DataFrame:
+        """Links of blocks over BLOCK shingles: two rounds of sub-blocks dealt by chance, then what isn't in a block's largest group asks every set of the block."""
+        asks = F.lit(True).alias("asks")
+        links = cut(searched(held.select("*", F.col("row").alias("known"), dealt_by(0, "subs").cast("string").alias("part"), asks)))
+        links = cut(links.unionByName(searched(grouped(held, links).select("*", dealt_by(1, "subs").cast("string").alias("part"), asks))))
+        marks = cut(grouped(held.drop("text"), links))
+        # Of two linked sets in the largest group none has to find the other; any other pair has one that asks.
+        largest = marks.groupBy("component", "known").agg(F.count("*").alias("n")).groupBy("component").agg(F.max(F.struct("n", "known")).alias("of"))
+        marks = marks.join(largest.select("component", F.col("of.known").alias("main")), "component").withColumn("asks", F.col("known") != F.col("main"))
+        rest = marks.where("asks").groupBy("component").agg(F.ceil(F.sum("n_shingles") / F.lit(BLOCK)).cast("int").alias("chunks"))
+        live = marks.join(rest, "component").select("row", "known", "asks", "subs", "chunks", dealt_by(2, "chunks").alias("chunk"), dealt_by(3, "subs").alias("sub"))
+        asking = live.where("asks").withColumn("sub", F.explode(F.expr("sequence(0, subs - 1)")))
+        other = live.withColumn("to_chunk", F.explode(F.expr("sequence(0, chunks - 1)"))).where("not asks or to_chunk != chunk")
+        asked = other.withColumn("chunk", F.col("to_chunk")).withColumn("asks", F.lit(False)).drop("to_chunk")
+        dealt = asking.unionByName(asked).select("row", "known", "asks", F.concat_ws("-", "chunk", "sub").alias("part"))
+        return links.unionByName(searched(held.join(dealt, "row")))
+
+    whole = picked.where("subs = 1").select("*", F.col("row").alias("known"), F.lit("0").alias("part"), F.lit(True).alias("asks"))
+    links = searched(texts_of(whole))
+    split = picked.where("subs > 1")
+    if not split.isEmpty():
+        links = links.unionByName(large(cut(texts_of(split))))
     found = components(copies.unionByName(links)).select(F.col("node.row").alias("row"), F.col("component.id").alias("first_id"), F.col("component.row").alias("first_row"))
     first_id = F.coalesce("first_id", "doc_id")
     kept = F.coalesce(F.col("first_row") == F.col("row"), F.lit(True))

@@ -8,10 +8,10 @@ import random
 import numpy as np
 import pytest
 import xxhash
-from helpers import sha
+from helpers import sha, similar
 from pyspark.sql import functions as F
 
-from geoloom.llm import base, lzprint, pivots
+from geoloom.llm import base, lzprint, pivots, setjoin
 
 
 def phrases(text: str) -> set[str]:
@@ -105,3 +105,27 @@ def test_configurations_are_near_the_programmes_bound():
     assert (used <= counts).all() and all(u @ sizes <= 2048 for u, _ in chosen) and (np.array(counts) - used).sum() < 60
     value, use = packing.worthiest(np.array([5, 3]), np.array([0.6, 0.3]), 11)
     assert value == pytest.approx(1.2) and use.tolist() == [2, 0]
+
+
+def test_large_blocks_are_searched_whole(spark, monkeypatch):
+    # A hub of near copies, a chain whose ends aren't alike, a second hub that shares most of its words and sets that link with one copy only.
+    monkeypatch.setattr(setjoin, "BLOCK", 1500)
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(40)]
+    rows = []
+    for hub in (words, [*words[:30], *(f"v{k}" for k in range(10))]):
+        for _ in range(60):
+            t = list(hub)
+            t[rng.randrange(len(t))] = f"x{rng.randrange(10**6)}"
+            rows.append(" ".join(t))
+    chain = list(words)
+    for k in range(12):
+        chain[3 * k] = f"y{k}"
+        rows.append(" ".join(chain))
+    rows += [" ".join([*words[:20], *(f"z{k}{j}" for j in range(20))]) for k in range(20)]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for size, percent in ((1, 90), (2, 80), (1, 60)):
+        want = similar(rows, size, percent)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in setjoin.similar(d, size, percent).collect()} == want
