@@ -572,9 +572,9 @@ def similar(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text
 
     def large(held: DataFrame) -> DataFrame:
         """Links of blocks over BLOCK shingles: two rounds of sub-blocks dealt by chance, then what isn't in a block's largest group asks every set of the block."""
-        asks = F.lit(True).alias("asks")
-        links = cut(searched(held.select("*", F.col("row").alias("known"), dealt_by(0, "subs").cast("string").alias("part"), asks)))
-        links = cut(links.unionByName(searched(grouped(held, links).select("*", dealt_by(1, "subs").cast("string").alias("part"), asks))))
+        own = held.select("*", F.col("row").alias("known"), F.lit(True).alias("asks"))
+        rounds = [own.withColumn("part", F.concat_ws("-", F.lit(k), dealt_by(k, "subs"))) for k in (0, 1)]
+        links = cut(searched(rounds[0].unionByName(rounds[1])))
         marks = cut(grouped(held.drop("text"), links))
         # Of two linked sets in the largest group none has to find the other; any other pair has one that asks.
         largest = marks.groupBy("component", "known").agg(F.count("*").alias("n")).groupBy("component").agg(F.max(F.struct("n", "known")).alias("of"))
@@ -587,11 +587,11 @@ def similar(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text
         dealt = asking.unionByName(asked).select("row", "known", "asks", F.concat_ws("-", "chunk", "sub").alias("part"))
         return links.unionByName(searched(held.join(dealt, "row")))
 
-    whole = picked.where("subs = 1").select("*", F.col("row").alias("known"), F.lit("0").alias("part"), F.lit(True).alias("asks"))
-    links = searched(texts_of(whole))
-    split = picked.where("subs > 1")
-    if not split.isEmpty():
-        links = links.unionByName(large(cut(texts_of(split))))
+    split = not picked.where("subs > 1").isEmpty()
+    texts = cut(texts_of(picked)) if split else texts_of(picked)
+    links = searched(texts.where("subs = 1").select("*", F.col("row").alias("known"), F.lit("0").alias("part"), F.lit(True).alias("asks")))
+    if split:
+        links = links.unionByName(large(texts.where("subs > 1")))
     found = components(copies.unionByName(links)).select(F.col("node.row").alias("row"), F.col("component.id").alias("first_id"), F.col("component.row").alias("first_row"))
     first_id = F.coalesce("first_id", "doc_id")
     kept = F.coalesce(F.col("first_row") == F.col("row"), F.lit(True))
