@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,27 +36,33 @@ def first_of_each(events: DataFrame, keys: list[str], time: str = "ts", late: st
     return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
-def gap_filter(events: DataFrame, drive: str, time: str, arrival: str, gap: float) -> DataFrame:
-    """drive and arrival of kept rows, as select.drive_gaps keeps them, over a stream: the state of a drive is its kept times."""
+def gap_filter(events: DataFrame, drive: str, time: str, arrival: str, gap: float, name: str | None = None) -> DataFrame:
+    """drive and arrival of kept rows, as select.drive_gaps keeps them, over a stream: the state of a drive is its kept times.
+
+    name, the number of a row, comes along if given; rows that arrive together are then taken by it. Spark hands a drive's rows
+    of a batch over in pieces and in no order, so those (three or four numbers a row) are held until all of them are there.
+    """
+    names = [drive, arrival] + ([name] if name else [])
+    none = f"__{drive}_none"  # a null among long numbers would make pandas round them all to doubles
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         gaps = Gaps(gap, list(state.get[0]) if state.exists else [])
-        for f in frames:
-            f = f.sort_values(arrival)
-            keep = []
-            for t in f[time]:
-                t = None if pd.isna(t) else float(t)
-                ok = gaps.free(t)
-                if ok:
-                    gaps.keep(t)
-                keep.append(ok)
-            out = f[keep]
-            if len(out):
-                yield pd.DataFrame({drive: out[drive], arrival: out[arrival]})
+        f = pd.concat(frames, ignore_index=True)
+        order = np.lexsort([f[c].to_numpy() for c in reversed(names[1:])])
+        keep = []
+        for i, t in zip(order, f[time].to_numpy()[order], strict=True):
+            t = None if np.isnan(t) else float(t)
+            if gaps.free(t):
+                gaps.keep(t)
+                keep.append(i)
+        if keep:
+            yield f.loc[keep, [none, *names]]
         state.update((gaps.times,))
 
-    schema = f"{drive} long, {arrival} long"
-    return events.select(F.col(drive).cast("long").alias(drive), F.col(time).cast("double").alias(time), F.col(arrival).cast("long").alias(arrival)).groupBy(drive).applyInPandasWithState(step, schema, "times array<double>", "append", GroupStateTimeout.NoTimeout)
+    schema = f"{none} boolean, " + ", ".join(f"{c} long" for c in names)
+    rows = events.select(F.col(drive).isNull().alias(none), F.col(time).cast("double").alias(time), *(F.col(c).cast("long").alias(c) for c in names)).fillna(0, [drive])
+    kept = rows.groupBy(none, drive).applyInPandasWithState(step, schema, "times array<double>", "append", GroupStateTimeout.NoTimeout)
+    return kept.select(F.when(~F.col(none), F.col(drive)).cast(events.schema[drive].dataType).alias(drive), *names[1:])
 
 
 def merge_topk(best: DataFrame | None, new: DataFrame, k: int) -> DataFrame:

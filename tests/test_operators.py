@@ -9,8 +9,10 @@ import zipfile
 
 import numpy as np
 import pytest
+from compare import same
 from pyspark.sql import functions as F
 
+from geoloom import catalog
 from geoloom.functions import text, vectors
 from geoloom.operators import areas, metrics, pca, prior, raster, search, select, spatial, splits
 from geoloom.operators.order import numbered, running
@@ -269,6 +271,48 @@ def test_streams_merge_and_sessions(spark):
     assert [(r.row_id, r.sim) for r in got] == [(3, 0.9), (1, 0.5)]
 
 
+@pytest.fixture
+def small_pieces(spark):
+    """Arrow batches of three rows, so that what belongs together comes in pieces."""
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "3")
+    yield
+    spark.conf.set(conf, before)
+
+
+def test_stream_gaps_equal_a_plain_walk(spark, small_pieces, tmp_path):
+    """Drives in pieces, rows that arrive together, without time or without a drive, and a second batch that finds the first one's state."""
+    random.seed(4)
+    rows = [(random.choice([1, 2, 3, None]), random.choice([None, *(float(random.randrange(2000)) for _ in range(9))]), random.randrange(40), i) for i in range(200)]
+    schema = "drive long, t double, arrival long, i long"
+    want, times, path = [], {}, f"{tmp_path}/in"
+    for half in (rows[:120], rows[120:]):
+        frame(spark, random.sample(half, len(half)), schema).coalesce(1).write.mode("append").parquet(path)
+        s = spark.readStream.schema(schema).parquet(path)
+        kept = streams.gap_filter(s, "drive", "t", "arrival", 30, "i")
+        kept.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+        for d, t, a, i in sorted(half, key=lambda r: r[2:]):
+            if t is None or all(abs(t - o) >= 30 for o in times.setdefault(d, [])):
+                want.append((d, a, i))
+                if t is not None:
+                    times[d].append(t)
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_stream_gaps_query_on_an_odd_table(spark, small_pieces, tmp_path):
+    """Scrambled shots of users with long numbers, and of none, in pieces; two that arrive together, one of them too near an earlier one; a number below 0, and none."""
+    import duckdb
+
+    c = duckdb.connect()
+    c.sql(f"""COPY (SELECT i AS event_id, TIMESTAMP '2024-01-01' + to_seconds((i * 3001) % 400000) AS ts, CASE WHEN i < 90 THEN 1152921504606846977 + i % 3 END AS user_id FROM range(150) t(i)
+        UNION ALL SELECT i, TIMESTAMP '2025-01-01' + to_days(d), 2 FROM (VALUES (127, 0), (1000004, 0), (1, 9), (-3, 20), (2, 20), (NULL, 30), (3, 30)) t(i, d)) TO '{tmp_path}/events.parquet' (FORMAT parquet)""")
+    c.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    got = catalog.queries()["stream_gaps"](spark, str(tmp_path))
+    same(got, c.sql(catalog.oracle_sql()["stream_gaps"]))
+    assert sorted(r.event_id for r in got.where("user_id = 2").collect()) == [1, 3, 127]
+
+
 def test_prior_masses_sum_to_one(spark):
     n = frame(spark, [(1, 5, 0.9, 32751, 21793), (1, 6, 0.8, 100, 100)], "query_id long, row_id long, sim double, x16 long, y16 long")
     w = prior.weights(n)
